@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "claimscope",
     if master:
         builder = builder.master(master)
     parts = shuffle_partitions or int(os.environ.get("CLAIMSCOPE_SHUFFLE_PARTITIONS", "8"))
+    if (master or "").startswith("local"):
+        builder = builder.config("spark.driver.memory", os.environ.get("CLAIMSCOPE_DRIVER_MEMORY", "16g"))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

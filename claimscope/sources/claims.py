@@ -58,9 +58,9 @@ def shared_claim_exprs() -> list[tuple[str, str]]:
         ("excessFee", "CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(40 + p_size AS DOUBLE) * fx END"),
         ("rrp", "CASE WHEN k % 97 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice * fx END"),
         ("balanceRRP", "CASE WHEN k % 89 = 0 THEN CAST(-50 AS DOUBLE) "
-                       "ELSE p_retailprice * fx * CAST(0.96 AS DOUBLE) END"),
+                       "ELSE p_retailprice * fx * CAST(k % 90 + 5 AS DOUBLE) / CAST(100 AS DOUBLE) END"),
         ("oldBalanceRRP", "CASE WHEN k % 89 = 0 THEN CAST(-50 AS DOUBLE) "
-                          "ELSE p_retailprice * fx * CAST(0.96 AS DOUBLE) END"),
+                          "ELSE p_retailprice * fx * CAST(k % 90 + 5 AS DOUBLE) / CAST(100 AS DOUBLE) END"),
         ("productName", f"CASE WHEN k % 101 = 0 THEN NULL ELSE country || {_CLASS_TOKEN} || '_ADLD_' "
                         f"|| {_DURATION_TOKEN} || '_' || {_PAYMENT_TOKEN} || '_' || {_DEVICE_TOKEN} END"),
         ("productDesc", "CASE WHEN k % 9 = 0 THEN 'SkÃ¤rmskydd och stÃ¶ldskydd' "
