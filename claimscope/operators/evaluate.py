@@ -54,13 +54,16 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = C.N_FOLDS,
 # ------------------------------------------------------------------------------------------ W4
 
 def cumulative_before(counts: DataFrame, keys: list[str], order_col: str, values: list[str],
-                      buckets: int = SCORE_BUCKETS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+                      buckets: int = SCORE_BUCKETS, lo=0.0, hi=1.0) -> DataFrame:
     """Add ``<v>_before``: sum of v over rows with the same keys and a smaller ``order_col``.
 
     ``counts`` has one row per distinct (keys, order_col). Offsets of whole buckets
     come from a bounded side table; the remainder from a window inside one bucket.
     """
-    b = F.least(F.greatest(F.floor((F.col(order_col) - lo) / (hi - lo) * buckets), F.lit(0)),
+    lo_c = lo if isinstance(lo, Column) else F.lit(float(lo))
+    hi_c = hi if isinstance(hi, Column) else F.lit(float(hi))
+    span = F.when(hi_c > lo_c, hi_c - lo_c).otherwise(F.lit(1.0))
+    b = F.least(F.greatest(F.floor((F.col(order_col) - lo_c) / span * buckets), F.lit(0)),
                 F.lit(buckets - 1)).cast("int")
     c = counts.withColumn("__bk", b)
     tot = c.groupBy(*keys, "__bk").agg(*[F.sum(v).alias(v) for v in values])
@@ -69,7 +72,7 @@ def cumulative_before(counts: DataFrame, keys: list[str], order_col: str, values
                                       for v in values])
     inside = Window.partitionBy(*keys, "__bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     out = c.join(F.broadcast(off), [*keys, "__bk"])
-    return out.select(*counts.columns, *[
+    return out.select(*[c for c in counts.columns if c != "__bk"], *[
         (F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"__o_{v}")).alias(f"{v}_before")
         for v in values])
 

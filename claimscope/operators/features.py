@@ -19,6 +19,7 @@ from claimscope.functions.parsing import parse_product_name
 from claimscope.functions.text import char_length, word_count
 from claimscope.session import lookup_join
 
+MAX_LITERAL_LEVELS = 5_000  # fitted levels above this are joined (checked broadcast) instead
 NULL_LEVEL = "nan"  # a null category is one text level on both fit and serve sides
 
 
@@ -144,6 +145,34 @@ class EncoderModel:
     feature_names: list[str] = field(default_factory=list)
 
     def encode(self, df: DataFrame) -> DataFrame:
+        if self.n_frequency + self.n_ordinal <= MAX_LITERAL_LEVELS:
+            return self._encode_literal(df)
+        return self._encode_joined(df)
+
+    def _encode_literal(self, df: DataFrame) -> DataFrame:
+        """Small fitted maps become literal map lookups (as a fitted indexer keeps its labels)."""
+        freq = {}
+        for r in self.frequency.collect():
+            freq.setdefault(r["column"], {})[r["level"]] = r["share"]
+        ordi = {}
+        for r in self.ordinal.collect():
+            ordi.setdefault(r["column"], {})[r["level"]] = r["idx"]
+
+        def lookup(mapping, c):
+            if not mapping:
+                return F.lit(None)
+            m = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
+            return F.try_element_at(m, level_of(c))
+
+        cols = {}
+        for c in C.FREQUENCY_ENCODED:
+            if c in df.columns:
+                cols[f"{c}_freq"] = F.coalesce(lookup(freq.get(c), c).cast("double"), F.lit(0.0))
+        for c in ordinal_columns(df):
+            cols[c] = F.coalesce(lookup(ordi.get(c), c), F.lit(-1)).cast("int")
+        return df.withColumns(cols).drop(*[c for c in C.FREQUENCY_ENCODED if c in df.columns])
+
+    def _encode_joined(self, df: DataFrame) -> DataFrame:
         out = df
         for c in C.FREQUENCY_ENCODED:
             if c not in out.columns:
