@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from claimscope.plans import claims_q, drift_q, eval_q, explain_q, learn_q, ledger_q, stream_q  # noqa: F401
+from claimscope.plans import claims_q, drift_q, eval_q, explain_q, governance_q, learn_q, ledger_q, stream_q  # noqa: F401
