@@ -57,9 +57,13 @@ def has_mojibake(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """Whitespace-separated token count (null/'' -> 0), Python ``len(s.split())``."""
-    t = F.coalesce(_col(c), F.lit(""))
-    return F.size(F.filter(F.split(t, PY_WHITESPACE), lambda x: x != F.lit(""))).cast("long")
+    """Whitespace-separated token count (null/'' -> 0), Python ``len(s.split())``.
+
+    Leading/trailing whitespace is stripped first, so splitting on runs yields exactly
+    the non-empty tokens (no lambda: stays inside generated code).
+    """
+    t = F.regexp_replace(F.coalesce(_col(c), F.lit("")), f"^{PY_WHITESPACE}|{PY_WHITESPACE}$", "")
+    return F.when(t == F.lit(""), F.lit(0)).otherwise(F.size(F.split(t, PY_WHITESPACE))).cast("long")
 
 
 def char_length(c) -> Column:

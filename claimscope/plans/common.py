@@ -16,7 +16,7 @@ from claimscope.sources.tables import read_table
 
 def document_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text features once per document (repaired text), instead of once per claim copy."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     t = repair_mojibake("text")
     return docs.select(F.col("doc_id").alias("__doc"),
                        char_length(t).alias("issue_desc_length"),
@@ -31,6 +31,16 @@ def claims_for_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.fillna({"issue_desc_length": 0, "issue_desc_word_count": 0})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text-heavy inputs stored in few large files: spread rows over all cores before per-row work.
+
+    Only when the scan yields fewer partitions than the cluster's parallelism (a metadata
+    check); a large table already arrives in many splits and is left alone.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def persisted(df: DataFrame) -> DataFrame:
     """Reuse within one job (fit then transform); recomputable from lineage on executor loss."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
