@@ -124,3 +124,37 @@ def j3_unlabelled_features(spark, sf_dir):
     feats = list(enc.feature_names)
     present = m.agg(*[F.count(f).alias(f) for f in feats]).unpivot([], feats, "feature", "n").select("feature")
     return AT.unlabelled(present, AT.label_table(spark))
+
+
+SEARCH_SPACE = {"numTrees": [10, 20, 40], "maxDepth": [3, 5, 7], "minInstancesPerNode": [1, 5, 20]}
+
+
+def seeded_trials(n_trials: int, seed: int = C.RANDOM_STATE) -> list[dict]:
+    """A seeded random draw from the search space (deterministic across runs)."""
+    import random
+    rng = random.Random(seed)
+    return [{k: rng.choice(v) for k, v in SEARCH_SPACE.items()} for _ in range(n_trials)]
+
+
+@query("x7_search_trials")
+def x7_search_trials(spark, sf_dir, n_trials: int = 3, n_folds: int = 3, warmup_folds: int = 2):
+    """Trials scored by mean per-fold average precision; a trial whose running mean falls
+    under the median of earlier trials after ``warmup_folds`` folds is pruned (median rule)."""
+    m, feats = training_matrix(spark, sf_dir)
+    m = m.withColumn("fold", F.col("fold") % n_folds)
+    rows, history = [], []
+    for t, params in enumerate(seeded_trials(n_trials)):
+        aps, pruned = [], False
+        for k in range(n_folds):
+            model = LN.build_model("random_forest", feats, params).fit(m.where(F.col("fold") != k))
+            s = LN.score(model, m.where(F.col("fold") == k)).select(
+                F.lit("t").alias("model"), F.col(C.TARGET).alias("y"), F.col("score").alias("p"))
+            aps.append(EV.ranking_metrics(s, ["model"]).collect()[0]["pr_auc"])
+            running = sum(aps) / len(aps)
+            earlier = sorted(h[len(aps) - 1] for h in history if len(h) >= len(aps))
+            if len(aps) >= warmup_folds and earlier and running < earlier[len(earlier) // 2]:
+                pruned = True
+                break
+        history.append([sum(aps[:i + 1]) / (i + 1) for i in range(len(aps))])
+        rows.append((t, str(params), float(sum(aps) / len(aps)), len(aps), pruned))
+    return spark.createDataFrame(rows, "trial int, params string, mean_pr_auc double, folds_run int, pruned boolean")

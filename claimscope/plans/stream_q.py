@@ -110,3 +110,35 @@ def p8_repair_mojibake_roundtrip(spark, sf_dir):
     defined = ~once.rlike(r"[\x{81}\x{8D}\x{8F}\x{90}\x{9D}]")
     return docs.select("doc_id", defined.alias("cp1252_defined"),
                        (repair_mojibake(once) == F.col("text")).alias("restored"))
+
+
+def _score_and_flag_inputs(df):
+    """Pseudo-score stand-in for the model, plus the inputs the flags read (EUR rrp, diagnostics run)."""
+    from claimscope.plans.explain_q import DECISION_EXPRS
+    exprs = dict(DECISION_EXPRS)
+    return df.selectExpr("claim_id", "claimType", "policyStatus", f"{exprs['rrp_eur']} AS rrp",
+                         f"{exprs['diag_completeness']} AS diag_completeness", f"{exprs['score']} AS score")
+
+
+def _t4_sql():
+    from claimscope.plans.explain_q import DEC_CTES
+    return with_ctes(*DEC_CTES)(
+        "SELECT claim_id, requires_human_review, human_review_reason, decision FROM dec "
+        "WHERE claim_id IN (SELECT claim_id FROM claims WHERE NOT (rrp <= 0 OR balanceRRP < 0 OR productName IS NULL))")
+
+
+@query("t4_stream_routing", _t4_sql())
+def t4_stream_routing(spark, sf_dir):
+    """T4: claims arrive as files; a stream validates (P13), scores and routes (D1/D2) them."""
+    import uuid
+    from claimscope.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark)}/t4-{uuid.uuid4().hex}"
+    raw = raw_claims(spark, sf_dir, with_text=False).withColumn("issueDesc", F.lit("narrative on file"))
+    raw.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    routed = J.route_stream(stream, _score_and_flag_inputs)
+    q = (routed.writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("claim_id", "requires_human_review", "human_review_reason",
+                                                    "decision")
