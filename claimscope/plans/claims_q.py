@@ -20,13 +20,10 @@ from claimscope.sources.claims import claims_sql, raw_claims
 RAW_COLS = ("claim_id",) + C.EXPECTED_COLUMNS
 CLAIMS = claims_sql()
 CLAIMS_NT = claims_sql(with_text=False)
-_PARSED_RAW = PARSED.replace(
-    "FROM cleaned", "FROM claims")
+_PARSED_RAW = PARSED.replace("FROM cleaned", "FROM claims")
 _STRIP = "regexp_replace({x}, 'S+$', '')"
 _AGREE = (f"coalesce({_STRIP.format(x='upper(deviceType)')} = {_STRIP.format(x='device_type_parsed')}, false)")
 
-
-
 # ----------------------------------------------------------------------------- SRC1
 
 
@@ -46,7 +43,7 @@ def p1_normalise_currency(spark, sf_dir):
                                     "currency_original"))
 
 
-def _dates_sql(prefix=""):
+def _dates_sql():
     return ", ".join(f"strftime({_date(c)}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in C.DATE_COLUMNS)
 
 

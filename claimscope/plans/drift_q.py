@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from claimscope import config as C
 from claimscope.operators import drift as DR
 from claimscope.operators.quantiles import linspace_quantiles
-from claimscope.plans.common import feature_matrix, persisted, round_doubles
+from claimscope.plans.common import feature_matrix, round_doubles
 from claimscope.plans.registry import query, with_ctes
 from claimscope.session import cut_lineage
 from claimscope.plans.sql_claims import FEATURE_CTES, FEATURE_NAMES

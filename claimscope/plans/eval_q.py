@@ -11,7 +11,6 @@ from claimscope.plans.registry import query, with_ctes
 from claimscope.plans.sql_claims import r6
 from claimscope.sources.claims import claims_sql, raw_claims
 
-D = "CAST({} AS DOUBLE)"
 _HASH = ("CAST((k * 104729) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) * CAST(0.8 AS DOUBLE) "
          "+ CASE WHEN y = 1 AND k % 2 = 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")
 _RULE = ("CAST(0.1 AS DOUBLE) + CASE WHEN claimType = 'Theft' THEN CAST(0.25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END "
