@@ -38,33 +38,30 @@ def digest(column) -> F.Column:
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(key, comp): the smallest key of each connected component, for every key in ``edges`` (a, b).
+    """(key, comp): the smallest key of each connected component, for every key in ``edges`` (a, b with a > b).
 
-    Alternating large-star and small-star steps: every round is two grouped minima and two
-    equi-joins, whose grouped side is unique, so a hub with very many links is split by the
-    skew join. Each round's links are stored.
+    Alternating small-star and large-star steps: each is a grouped minimum and an equi-join whose
+    grouped side is unique, so a hub with very many links is split by the skew join. Every
+    round's links are stored.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    e = edges
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = e.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        small = (e.join(low, e.a == low.k).select(F.explode(F.array(pair("a", "m"), pair("b", "m"))).alias("x"))
+                 .select("x.*").where("a <> b").distinct())
+        small = stored(small)
+        both = small.select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("x")).select("x.*")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = (both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .where("a <> b").distinct())
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        joined = large.join(low2, large.a == low2.k)
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = stored(small)
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("key"), F.col("b").alias("comp")).unionByName(
-        e.select(F.col("b").alias("key"), F.col("b").alias("comp"))).distinct()
+        e = stored(both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(1).alias("up")),
+                                          F.struct(F.col("b").alias("k"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+        unsettled = ends.groupBy("k").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where(
+            "ups > 1 or (ups = 1 and least = 0)")
+        if unsettled.isEmpty():
+            return e.select(F.explode(F.array(pair("a", "b"), pair("b", "b"))).alias("x")).select(
+                F.col("x.a").alias("key"), F.col("x.b").alias("comp")).distinct()
+    raise RuntimeError("components did not settle")
 
 
 def link_near(bands: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -96,5 +93,6 @@ def link_near(bands: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> t
     more = stored(verified(stored(pairs.join(seen, ["a", "b"], "left_anti"))))
     if not more.isEmpty():
         links = links.unionByName(more)
-        comp = stored(components(links))
+        stars = comp.where("key <> comp").select(F.col("key").alias("a"), F.col("comp").alias("b"))
+        comp = stored(components(stars.unionByName(more)))
     return links, comp

@@ -11,7 +11,7 @@ exact or, with all pieces near, a proximity match.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import sized, stored
@@ -92,7 +92,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
                        & (F.col("tag") == F.col("p_tag")) & (F.col("start") + F.col("o2") + F.col("shift") == F.col("p_pos")))
     found = both.select(*single.columns).unionByName(single)
     base = F.greatest(F.col("pos") - (near - 1), F.lit(0))
-    exact = F.slice("around", F.col("start") - base + 1, F.col("n")) == F.col("words")
+    exact = F.slice("around", F.greatest(F.col("start") - base + 1, F.lit(1)), F.col("n")) == F.col("words")
     share = F.size(F.array_intersect("around", "words")) >= 0.8 * F.size(F.array_distinct("words"))
     kind = found.withColumn("exact", exact).where(F.col("exact") | share if slop else F.col("exact"))
     return kind.select(F.explode("items").alias("item_id"), "doc_id", "tag", "start", "n", "exact").distinct()
@@ -106,7 +106,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     """
     found = stored(matches(docs, benchmark, size))
     spans = found.groupBy("doc_id", "tag", "start").agg(F.max("n").alias("n"))
-    from pyspark.sql import Window
     before = Window.partitionBy("doc_id", "tag").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     spans = spans.withColumn("reach", F.coalesce(F.max(end).over(before), F.lit(0)))
