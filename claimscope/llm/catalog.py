@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.llm import decontaminate, near_dedup, quality_rules
+from claimscope.llm import chat_format, decontaminate, near_dedup, paragraph_dedup, pieces, pii, quality_rules
 from claimscope.llm.common import table
 
 DECONTAMINATION_SQL = r"""
@@ -23,17 +23,47 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op2_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag")
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(*chat_format.prefix_tree(rows.unionByName(chat_format.special_conversation(rows))))
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op8_quality_rules, op10_minhash_near_dedup)}
-ORACLES = {"op3_decontamination": DECONTAMINATION_SQL}
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '<(\|im_start\|>|\|im_end\|>|/?s>|/?SYS>|<SYS>>|</SYS>>)', '<\\-\1', 'g') AS t1 FROM c),
+f AS (SELECT *, regexp_replace(t1, '\[(/?INST\])', '[\\-\1', 'g') AS t2 FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(t2) + length(role) + 24) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (
+    op2_pii, op3_decontamination, op5_substring_dedup, op6_sentencepiece, op8_quality_rules, op9_chat_formatting, op10_minhash_near_dedup)}
+ORACLES = {"op3_decontamination": DECONTAMINATION_SQL, "op9_chat_formatting": CHAT_SQL}

@@ -91,7 +91,8 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return float((1 / (below[upto - 1] / x[both] + above[upto] / y[both])).sum())
 
 
-def _similar(least: float):
+def same_shingles(least: float, weighted: bool = True):
+    """Keeps rows (a, b, text of a, text of b) of similarity ``least`` or more; unweighted: plain Jaccard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             da, oa = strings(batch.column(2))
@@ -103,6 +104,8 @@ def _similar(least: float):
                 rb, vb, _ = shingles(db[ob[i]: ob[j]], ob[i: j + 1] - ob[i], WORDS)
                 ra, va, wa = weighted_sets(ra, va)
                 rb, vb, wb = weighted_sets(rb, vb)
+                if not weighted:
+                    wa, wb = np.ones_like(wa), np.ones_like(wb)
                 row, value = np.concatenate([ra, rb]), np.concatenate([va, vb])
                 x, y = np.concatenate([wa, 0 * wb]).astype(float), np.concatenate([0 * wa, wb]).astype(float)
                 order = np.lexsort((value, row))
@@ -113,7 +116,7 @@ def _similar(least: float):
                 bounds = np.searchsorted(row, np.arange(n + 1))
                 for p in range(n):
                     a, b = bounds[p], bounds[p + 1]
-                    if 10 * min((x[a:b] > 0).sum(), (y[a:b] > 0).sum()) and probability_jaccard(x[a:b], y[a:b]) >= least - 1e-12:
+                    if probability_jaccard(x[a:b], y[a:b]) >= least - 1e-12:
                         keep[i + p] = True
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
@@ -144,7 +147,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         both = (pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(found.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
                 .select("a", "b", "text_a", "text_b"))
-        return both.mapInArrow(_similar(similarity), "a binary, b binary")
+        return both.mapInArrow(same_shingles(similarity), "a binary, b binary")
 
     links, comp = link_near(exploded, verified)
     ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key")))

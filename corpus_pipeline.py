@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, near-dedup, decontamination; each stage over all its predecessor kept."""
+"""Corpus pipeline: quality rules, near-dedup, decontamination, PII masking, SentencePiece ids; each stage over all its predecessor kept."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import decontaminate, near_dedup, quality_rules
+from claimscope.llm import decontaminate, near_dedup, pieces, pii, quality_rules
 from claimscope.llm.common import table
 from claimscope.session import ensure_checkpoint_dir
 
@@ -23,7 +23,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality_stage), ("minhash near-dedup", dedup_stage), ("benchmark decontamination", decontamination_stage)]
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs)
+
+
+STAGES = [("quality rules", quality_stage), ("minhash near-dedup", dedup_stage),
+          ("benchmark decontamination", decontamination_stage), ("pii", pii_stage), ("sentencepiece", tokens_stage)]
 
 #: SQL cannot express the signatures and the models; tests hold every stage against brute force.
 ORACLE_SQL = None
