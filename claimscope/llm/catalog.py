@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from claimscope.llm import chat_format, decontaminate, near_dedup, paragraph_dedup, pieces, pii, quality_rules
+from claimscope.llm import chat_format, decontaminate, language, licences, near_dedup, paragraph_dedup, pieces, pii, quality_rules, substring_dedup
 from claimscope.llm.common import table
 
 DECONTAMINATION_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 iw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, s, s + 9), ' ') AS g, least(len(w), 10) AS n
-        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM iw WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda s: array_to_string(list_slice(w, s, s + 9), ' '))) AS g
+        FROM iw WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM win),
-pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM dw),
-m AS (SELECT DISTINCT p.doc_id, p.s, win.n, win.item_id FROM pos p, sizes z, win
-      WHERE win.n = z.n AND win.g = array_to_string(list_slice(p.w, p.s, p.s + z.n - 1), ' ')),
+pos AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s,
+               unnest(list_transform(range(1, len(w) - n + 2), lambda s: array_to_string(list_slice(w, s, s + n - 1), ' '))) AS g FROM dw, sizes WHERE len(w) >= n),
+m AS (SELECT DISTINCT p.doc_id, p.s, p.n, win.item_id FROM pos p JOIN win ON win.n = p.n AND win.g = p.g),
 hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM m) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
@@ -23,6 +23,10 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag")
 
 
+def op4_license_scan(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark, sf_dir):
     return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,10 @@ def op6_sentencepiece(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -65,5 +77,6 @@ FROM f GROUP BY conv_id
 """
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii, op3_decontamination, op5_substring_dedup, op6_sentencepiece, op8_quality_rules, op9_chat_formatting, op10_minhash_near_dedup)}
+    op1_suffix_array_dedup, op2_pii, op3_decontamination, op4_license_scan, op5_substring_dedup, op6_sentencepiece,
+    op7_language_id, op8_quality_rules, op9_chat_formatting, op10_minhash_near_dedup)}
 ORACLES = {"op3_decontamination": DECONTAMINATION_SQL, "op9_chat_formatting": CHAT_SQL}
