@@ -95,7 +95,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     exact = F.slice("around", F.greatest(F.col("start") - base + 1, F.lit(1)), F.col("n")) == F.col("words")
     share = F.size(F.array_intersect("around", "words")) >= 0.8 * F.size(F.array_distinct("words"))
     kind = found.withColumn("exact", exact).where(F.col("exact") | share if slop else F.col("exact"))
-    return kind.select(F.explode("items").alias("item_id"), "doc_id", "tag", "start", "n", "exact").distinct()
+    return kind.select(F.explode_outer("items").alias("item_id"), "doc_id", "tag", "start", "n", "exact").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
