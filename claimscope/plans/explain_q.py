@@ -260,11 +260,8 @@ def _fallback_sql():
     "FROM vsum GROUP BY claim_id, persona) WHERE no_pass"))
 def d15_fallback_explanations(spark, sf_dir):
     """The template content for every response pair that ends on the template."""
-    v = validated(spark, sf_dir)
-    res = EX.resolve_attempts(v, ["claim_id", "persona"]).where("used_template_fallback")
-    rv = v.select("claim_id", "persona", "requires_human_review").dropDuplicates(["claim_id", "persona"])
-    j = res.join(rv, ["claim_id", "persona"])
-    return j.select("claim_id", "persona", DE.fallback_explanation(
+    res = EX.resolve_attempts(validated(spark, sf_dir), ["claim_id", "persona"], carry=("requires_human_review",))
+    return res.where("used_template_fallback").select("claim_id", "persona", DE.fallback_explanation(
         F.col("persona"), F.col("requires_human_review"), F.col("claim_id")).alias("content"))
 
 

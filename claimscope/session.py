@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,15 @@ def build_session(master: str | None = None, app: str = "claimscope",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("CLAIMSCOPE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("CLAIMSCOPE_SHUFFLE_PARTITIONS")
     if (master or "").startswith("local"):
-        builder = builder.config("spark.driver.memory", os.environ.get("CLAIMSCOPE_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("CLAIMSCOPE_DRIVER_MEMORY", "8g"))
+        parts = parts or 8
+    if parts:  # a cluster keeps its own width unless told otherwise
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -41,9 +44,11 @@ def build_session(master: str | None = None, app: str = "claimscope",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch one only if unset (tests)."""
+    """The shared checkpoint folder the cluster names; a scratch one only if unset on a local master (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="claimscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
