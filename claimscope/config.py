@@ -45,7 +45,7 @@ EXPECTED_COLUMNS = (
     "audio", "mic", "buttons", "connection", "charging", "other", "issueDesc",
 )
 
-# Mojibake marker: a UTF-8 lead byte rendered through cp1252.
+# FIXED VALUES: marks of text that was decoded as cp1252.
 MOJIBAKE_PATTERN = "Ã.|Â.|â€"
 
 # ---------------------------------------------------------------------------
@@ -189,10 +189,10 @@ PROMISED_REVIEW = (
     r"|\b(?:someone|somebody|our team|a (?:team member|colleague|specialist|person)"
     r"|an? (?:adjuster|expert|agent|assessor)) will (?:review|look at|assess|examine|check)\b"
 )
-# A number not glued to an identifier ("CLM-000042" is not -42); "," is a decimal point.
+# Numbers that stand alone; either decimal mark.
 NUMBER_TOKEN = r"(^|[^A-Za-z0-9\-])(-?\d+(?:[.,]\d+)?)"
 
-# Template explanation texts.
+# FIXED VALUES: sentences of the template explanation.
 TEMPLATE_UNDER_REVIEW = "is currently under review by our team"
 TEMPLATE_PROCESSED = "has been processed and is moving through our standard handling"
 TEMPLATE_KEY_FACTOR = "A detailed explanation is temporarily unavailable."
