@@ -7,8 +7,9 @@ anchor occurs, need no more work. The remaining contexts are cut into pieces of
 grouped by the 185 bytes their windows share. In each group an enhanced suffix array is built
 and its common-prefix interval tree is scanned with a stack: every interval of 200 bytes or more
 whose left neighbours differ is a maximal repeat group, with all its occurrences. A group of more
-than GROUP pieces is instead split further, to single windows, which are counted by digest: exact
-as well, and no task holds it whole. Strings longer than a context come out as overlapping spans.
+than GROUP pieces is instead counted by content: pieces of equal content are repeated as they are,
+and one piece of each content is split further, to single windows, which are counted by digest:
+exact as well, and no task holds it whole. Strings longer than a context come out as overlapping spans.
 """
 
 from __future__ import annotations
@@ -190,12 +191,17 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = shared.where(F.col("n") <= GROUP).select("key", "doc_id", "tag", "s", "whole")
     trees = stored(small.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "s").mapInArrow(
         _groups, f"group binary, length bigint, doc_id {doc_type}, tag bigint, s bigint"))
+    # of equal pieces in a large group every window is repeated; only one piece of each content is split further
+    large = shared.where(F.col("n") > GROUP).select("key", "doc_id", "tag", "s", "whole", F.unhex(F.md5("whole")).alias("p"))
+    contents = stored(large.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "s", "whole")).alias("at")))
+    alike = large.join(contents.where("n > 1").select("key", "p"), ["key", "p"])
     starts = F.explode(F.sequence(F.lit(0), F.length("whole") - LENGTH))
-    single = stored(shared.where(F.col("n") > GROUP).select("doc_id", "tag", "s", "whole", starts.alias("i")).select(
+    single = stored(contents.select("at.*").select("doc_id", "tag", "s", "whole", starts.alias("i")).select(
         F.unhex(F.md5(F.substring("whole", F.col("i") + 1, F.lit(LENGTH)))).alias("w"), "doc_id", "tag", (F.col("s") + F.col("i")).alias("s")).distinct())
     again = single.join(single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "w")
-    spans = whole.unionByName(trees.select("doc_id", "tag", "s", (F.col("s") + F.col("length")).alias("e"))).unionByName(
-        again.select("doc_id", "tag", "s", (F.col("s") + LENGTH).alias("e")))
+    spans = (whole.unionByName(trees.select("doc_id", "tag", "s", (F.col("s") + F.col("length")).alias("e")))
+             .unionByName(alike.select("doc_id", "tag", "s", (F.col("s") + F.length("whole")).alias("e")))
+             .unionByName(again.select("doc_id", "tag", "s", (F.col("s") + LENGTH).alias("e"))))
     return trees, spans
 
 
