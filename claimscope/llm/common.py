@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimscope.session import ensure_checkpoint_dir
@@ -64,33 +64,64 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link_near(bands: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def central_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every unit of a bucket with the bucket's hub, from ``members`` (band, key, n: rows of the bucket).
+
+    The hub is the unit that shares buckets with the most rows, so it lies near the middle of a
+    group of varied copies and links to most of them at once.
+    """
+    score = members.groupBy("key").agg(F.sum("n").alias("score"))
+    hubs = members.join(score, "key").groupBy("band").agg(F.max(F.struct("score", "key")).alias("top")).select("band", F.col("top.key").alias("hub"))
+    return members.join(hubs, "band").where("key <> hub").select(
+        F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
+
+
+def prefix_pairs(units: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of units of different components that can reach ``similarity``; none that can is left out.
+
+    ``units`` (key, comp), ``grams`` (key, gram, weight). Order every unit's shingles from the rarest
+    on. Before the first one a pair shares, each side has a mass x, y (of 1) that the other lacks, and its
+    (probability) Jaccard index is at most 1 / (1 + x / (1 - x) + y / (1 - y)). So only shingles with
+    little mass before them are joined, and only where the two sums allow the similarity.
+    """
+    slack = 1 / similarity - 1
+    grams = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
+    by_unit = Window.partitionBy("key")
+    head = by_unit.orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = grams.select("key", "gram", "df", F.coalesce(F.sum("weight").over(head), F.lit(0)).alias("x"), F.sum("weight").over(by_unit).alias("all"))
+    ranked = ranked.select("key", "gram", "df", (F.col("x") / (F.col("all") - F.col("x"))).alias("odds")).where(
+        (F.col("df") > 1) & (F.col("odds") <= slack + 1e-9))
+    side = stored(ranked.join(units, "key").select("gram", "key", "comp", "odds"))
+    other = side.select("gram", F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("odds").alias("odds_b"))
+    return side.join(other, "gram").where((F.col("key") > F.col("b")) & (F.col("comp") != F.col("comp_b"))
+                                          & (F.col("odds") + F.col("odds_b") <= slack + 1e-9)).select(F.col("key").alias("a"), "b").distinct()
+
+
+def link_near(bands: DataFrame, verified: Callable[[DataFrame], DataFrame], grams: Callable[[DataFrame], DataFrame],
+              similarity: float) -> tuple[DataFrame, DataFrame]:
     """Verified links between units that share a band, and the components they form.
 
     ``bands`` (key binary, band long), one row per unit and band (repeats allowed); ``verified``
-    takes candidate pairs (a, b) and returns those that hold. No bucket is expanded into its
-    pairs. First each unit is paired with the smallest key of each of its buckets. A bucket
-    whose units then lie in one component is settled. In the others, every unit outside the
-    bucket's largest component is paired with the bucket's units of other components, so that
-    no two colliding units of different components stay uncompared.
-    Returns (links (a, b), membership (key, comp)).
+    takes candidate pairs (a, b), a > b, and returns those that hold; ``grams`` takes keys and returns
+    their shingles (key, gram, weight). No bucket is expanded into its pairs. First each unit is
+    paired with the hub of each of its buckets. A bucket whose units then lie in one component is
+    settled. The units of the others are compared by their rarest shingles (``prefix_pairs``), so
+    that no two colliding units of different components that can be similar stay uncompared.
+    Returns (links (a, b), membership (key, comp)); the links span the components and are not all there are.
     """
-    buckets = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top")
-    members = stored(bands.join(buckets.select("band", "hub"), "band").select("band", "key", "hub").distinct())
-    tried = stored(members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+    buckets = bands.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
+    members = stored(bands.join(buckets.where("least <> most").select("band", "n"), "band").select("band", "key", "n").distinct())
+    tried = stored(central_pairs(members))
     links = stored(verified(tried))
     comp = stored(components(links))
 
     labelled = members.join(comp, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
-    sizes = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_ = (sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
-             .where("parts > 1").select("band", F.col("top.comp").alias("main")))
-    rest = stored(labelled.join(open_, "band"))
-    outside = rest.where("comp <> main").select("band", F.col("key").alias("x"), F.col("comp").alias("xc"))
-    pairs = outside.join(rest, "band").where("xc <> comp").select(
-        F.greatest("x", "key").alias("a"), F.least("x", "key").alias("b")).distinct()
-    seen = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = stored(verified(stored(pairs.join(seen, ["a", "b"], "left_anti"))))
+    open_ = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    rest = stored(labelled.join(open_, "band").select("key", "comp").distinct())
+    if rest.isEmpty():
+        return links, comp
+    pairs = prefix_pairs(rest, stored(grams(rest.select("key"))), similarity)
+    more = stored(verified(stored(pairs.join(tried, ["a", "b"], "left_anti"))))
     if not more.isEmpty():
         links = links.unionByName(more)
         stars = comp.where("key <> comp").select(F.col("key").alias("a"), F.col("comp").alias("b"))

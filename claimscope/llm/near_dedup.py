@@ -123,12 +123,30 @@ def same_shingles(least: float, weighted: bool = True):
     return run
 
 
+def shingle_rows(weighted: bool = True):
+    """(key, gram, weight) of every distinct shingle of rows (key, text); unweighted: weight 1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column(1))
+            for i, j in row_chunks(offsets):
+                row, value, _ = shingles(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], WORDS)
+                row, value, weight = weighted_sets(row, value)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row + i)), pa.array(value.view(np.int64)),
+                     pa.array((weight if weighted else np.ones_like(weight)).astype(np.int64))], ["key", "gram", "weight"])
+    return run
+
+
+GRAMS = "key binary, gram bigint, weight bigint"
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
                     per_band: int = ROWS) -> DataFrame:
     """One row per distinct text: (key, rep, copies, class_id, n_links).
 
     key: 16-byte digest of the text; rep: its smallest doc_id; class_id: the smallest doc_id of
-    its component; n_links: verified links of the text to other texts. Equal texts are one text
+    its component; n_links: links of the text to other texts that were verified to find the classes
+    (they span each class; a class may hold more). Equal texts are one text
     (null counts as empty, which equals other empty texts); texts without words match only their
     equals. Rows that repeat a doc_id are copies like any other; null doc_ids leave rep null
     unless a copy has one. Only doc_id and text are read, so other columns can have any name.
@@ -138,18 +156,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     signed = stored(texts.select("key", "text").mapInArrow(_signatures(bands, per_band), "key binary, bands array<bigint>"))
     exploded = signed.select("key", F.explode("bands").alias("band"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        need = stored(need.join(copies, "key").select("key", "rep"))
+    def texts_of(keys: DataFrame) -> DataFrame:
+        need = stored(keys.join(copies, "key").select("key", "rep"))
         side = sized(need.select(F.col("key").alias("k"), F.col("rep")), 80)
         found = texts.join(side, (texts.key == F.col("k")) & texts.doc_id.eqNullSafe(F.col("rep")))
-        found = stored(found.select("key", "text").dropDuplicates(["key"]))
+        return found.select("key", "text").dropDuplicates(["key"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
         both = (pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(found.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
                 .select("a", "b", "text_a", "text_b"))
         return both.mapInArrow(same_shingles(similarity), "a binary, b binary")
 
-    links, comp = link_near(exploded, verified)
+    def grams(keys: DataFrame) -> DataFrame:
+        return texts_of(keys).mapInArrow(shingle_rows(), GRAMS)
+
+    links, comp = link_near(exploded, verified, grams, similarity)
     ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key")))
     degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     known = comp.join(copies, "key")
@@ -160,7 +183,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links (links of its text to other texts)."""
+    """One row per row of ``docs``: doc_id, class_id, n_links (see near_duplicates)."""
     texts = stored(near_duplicates(docs))
     rows = docs.select("doc_id", digest(F.col("text")).alias("key"))
     return rows.join(texts.select("key", "class_id", "n_links"), "key").select("doc_id", "class_id", "n_links")

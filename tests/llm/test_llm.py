@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 
 from claimscope.llm import (chat_format, decontaminate, language, licences, near_dedup, paragraph_dedup, pieces, pii,
                             quality_rules, substring_dedup)
-from claimscope.llm.common import table
+from claimscope.llm.common import prefix_pairs, table
 
 WORDS = [f"w{i}{'abcdefg'[i % 7]}" for i in range(400)]
 
@@ -111,6 +112,36 @@ def test_near_dedup_edges(spark, edge):
     assert near_dedup.classes(edge.limit(0)).count() == 0
 
 
+def test_near_dedup_of_varied_copies(spark):
+    """A group of copies so varied that no hub links to all: the classes equal those of all pairs."""
+    r = random.Random(5)
+    base, rows = prose(31, 150).split(), []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(len(w)), r.randint(1, 10)):
+            w[k] = f"z{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, got = defaultdict(set), defaultdict(set)
+    for x, c in zip(rows, brute_classes(docs.collect())):
+        want[c].add(x[0])
+    for x in near_dedup.classes(docs).collect():
+        got[x.class_id].add(x.doc_id)
+    assert 3 < len(want) < 150
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_prefix_pairs_lose_no_similar_pair(spark):
+    r = np.random.default_rng(3)
+    units = r.integers(1, 4, (40, 30)) * (r.random((40, 30)) < 0.9)
+    units[20:] = np.maximum(units[:20] + (r.random((20, 30)) < 0.1) - (r.random((20, 30)) < 0.1), 0)
+    grams = spark.createDataFrame([(bytes([i]), int(g), int(w)) for i, u in enumerate(units) for g, w in enumerate(u) if w], near_dedup.GRAMS)
+    comps = spark.createDataFrame([(bytes([i]), bytes([i])) for i in range(40)], "key binary, comp binary")
+    got = {(x.a[0], x.b[0]) for x in prefix_pairs(comps, grams, 0.6).collect()}
+    want = {(i, j) for i in range(40) for j in range(i) if near_dedup.probability_jaccard(units[i].astype(float), units[j].astype(float)) >= 0.6}
+    assert want and want <= got
+
+
 def test_probability_jaccard_against_definition():
     r = np.random.default_rng(0)
     for _ in range(20):
