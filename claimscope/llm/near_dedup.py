@@ -142,10 +142,11 @@ GRAMS = "key binary, gram bigint, weight bigint"
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
                     per_band: int = ROWS) -> DataFrame:
-    """One row per distinct text: (key, rep, copies, class_id, n_links).
+    """One row per distinct text: (key, comp, rep, copies, class_id, n_links).
 
-    key: 16-byte digest of the text; rep: its smallest doc_id; class_id: the smallest doc_id of
-    its component; n_links: links of the text to other texts that were verified to find the classes
+    key: 16-byte digest of the text; comp: the smallest key of its component, which alone tells classes
+    apart; rep: the text's smallest doc_id; class_id: the smallest doc_id of its component, which
+    unrelated classes share where doc_ids are null or repeated; n_links: links of the text to other texts that were verified to find the classes
     (they span each class; a class may hold more). Equal texts are one text
     (null counts as empty, which equals other empty texts); texts without words match only their
     equals. Rows that repeat a doc_id are copies like any other; null doc_ids leave rep null
@@ -177,24 +178,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     known = comp.join(copies, "key")
     smallest = known.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    labelled = known.join(smallest, "comp").join(degree, "key", "left").select("key", F.col("class_id").alias("c"), "n_links")
+    labelled = known.join(smallest, "comp").join(degree, "key", "left").select("key", "comp", F.col("class_id").alias("c"), "n_links")
     return copies.join(labelled, "key", "left").select(
-        "key", "rep", "copies", F.coalesce("c", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "key", F.coalesce("comp", "key").alias("comp"), "rep", "copies", F.coalesce("c", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links (see near_duplicates)."""
+    """One row per row of ``docs``: doc_id, class_id, n_links, class_key (``comp`` in hex: equal for one class only; see near_duplicates)."""
     texts = stored(near_duplicates(docs))
     rows = docs.select("doc_id", digest(F.col("text")).alias("key"))
-    return rows.join(texts.select("key", "class_id", "n_links"), "key").select("doc_id", "class_id", "n_links")
+    return rows.join(texts.select("key", "class_id", "n_links", F.lower(F.hex("comp")).alias("class_key")), "key").select(
+        "doc_id", "class_id", "n_links", "class_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one of its smallest doc_id (of equal doc_ids, the least text digest)."""
-    texts = near_duplicates(docs)
-    best = stored(texts.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("_key"))
-                  .select(F.col("class_id").alias("_rep"), "_key"))
+    """``docs`` with one row of each class: the one of its smallest doc_id (of equal doc_ids, the least text digest).
+
+    Classes are told apart by ``comp``; a class whose doc_ids are all null keeps the row of its least digest.
+    """
+    first = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")  # a null doc_id only if the class has no other
+    best = stored(near_duplicates(docs).groupBy("comp").agg(F.min(first).alias("at"))
+                  .select(F.col("at.rep").alias("_rep"), F.col("at.key").alias("_key")))
     columns = docs.columns
     keyed = docs.select(*columns, digest(F.col("text")).alias("_digest_of_text"))
     kept = keyed.join(best, keyed._digest_of_text.eqNullSafe(F.col("_key")) & keyed.doc_id.eqNullSafe(F.col("_rep")))
-    return kept.dropDuplicates(["_digest_of_text", "_rep"]).select(*[kept[c] for c in columns])
+    return kept.dropDuplicates(["_digest_of_text"]).select(*[kept[c] for c in columns])

@@ -112,6 +112,21 @@ def test_near_dedup_edges(spark, edge):
     assert near_dedup.classes(edge.limit(0)).count() == 0
 
 
+def test_near_dedup_classes_that_share_a_doc_id(spark):
+    """Unrelated texts under null doc_ids, and under one repeated doc_id, are classes of their own."""
+    near = prose(41).replace(prose(41).split()[60], "changed", 1)
+    rows = [(None, prose(41)), (None, near), (None, prose(42)), (None, prose(43)), (7, prose(44)), (7, prose(45)), (None, prose(45)),
+            (8, prose(46)), (7, prose(46)), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()]
+    assert Counter(d for d, _ in kept) == Counter([None, None, None, 7, 7, 7, 9])
+    assert len({t for _, t in kept} & {prose(41), near}) == 1
+    assert {t for d, t in kept if d is None} - {prose(41), near} == {prose(42), prose(43)}
+    assert {t for d, t in kept if d == 7} == {prose(44), prose(45), prose(46)}
+    got = Counter((r.class_key, r.class_id) for r in near_dedup.classes(docs).collect())
+    assert sorted((c is None, c, n) for (_, c), n in got.items()) == [(False, 7, 1), (False, 7, 2), (False, 7, 2), (False, 9, 2), (True, None, 1), (True, None, 1), (True, None, 2)]
+
+
 def test_near_dedup_of_varied_copies(spark):
     """A group of copies so varied that no hub links to all: the classes equal those of all pairs."""
     r = random.Random(5)
