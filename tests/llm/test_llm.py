@@ -239,6 +239,35 @@ def test_licences(spark, docs):
     assert model.classify("The museum is licensed under local law to serve drinks.")[0] == "unknown"
 
 
+HELD_OUT = {
+    "The MIT License (MIT)": ["MIT"], "GNU GENERAL PUBLIC LICENSE": ["GPL"], "SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"],
+    "# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT)": ["GPL-2.0", "MIT"],
+    "Licensed under the GNU General Public License, version 2.": ["GPL-2.0"], "Code is under the GPLv3 license.": ["GPL-3.0"],
+    "Licensed under the GNU Lesser General Public License, version 2.1": ["LGPL-2.1"], "Available under the AGPL-3.0.": ["AGPL-3.0"],
+    "Distributed under the terms of the Mozilla Public License, v. 2.0.": ["MPL-2.0"], "You may use it under version 2 of the GNU General Public License": ["GPL-2.0"],
+    "This file is distributed under the BSD 2-Clause License": ["BSD-2-Clause"], "Distributed under the ISC license": ["ISC"],
+    "Text is available under the Creative Commons Attribution-ShareAlike 3.0 License": ["CC-BY-SA-3.0"], "Photos: CC BY-ND 4.0": ["CC-BY-ND-4.0"],
+    "Foo version 2.0 is released under the GNU General Public License": ["GPL"],
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991": ["GPL-2.0"],
+    "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or": ["GPL-3.0"],
+    "This program comes with no promise and is licensed under the GNU General\nPublic License, version 3.": ["GPL-3.0"],
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that\n"
+    "2. Redistributions in binary form must reproduce the above": ["BSD-2-Clause"],
+    "The conference debated the GNU General Public License for hours before lunch was served": [],
+    "A driving license is issued under the terms of the road act.": [], "The committee reserved all rights of reply for members.": [],
+}
+
+
+def test_licences_held_out(spark, docs):
+    """Wording that is no template: headings, SPDX lines, wrapped notices, sibling licences and versions."""
+    assert not {t for ts in licences.TEMPLATES.values() for t in ts} & set(HELD_OUT)
+    assert all(licences.ANCHOR.search(t.lower()) for ts in licences.TEMPLATES.values() for t in ts)
+    rows = [(-1 - i, f"Some prose about a town.\n{t}\nMore prose.") for i, t in enumerate(HELD_OUT)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.families for r in licences.scan(df).collect()}
+    assert {t: got[-1 - i] for i, t in enumerate(HELD_OUT)} == HELD_OUT
+
+
 def test_language(spark, sf):
     pages = table(spark, sf, "pages")
     rows = language.identify(pages, table(spark, sf, "documents")).collect()
