@@ -1,8 +1,8 @@
 """Substring dedup on paragraphs: MinHash banding, exact Jaccard, removals clustered by components.
 
-A paragraph is a \\n-separated line with words (letters, digits, non-ASCII; A-Z lower-cased).
-Paragraphs of equal word sequences are one unit. Bands of 3 minima over five-word shingles are
-tuned for recall: a pair at exactly 0.8 shares one of 9 bands with probability 0.998.
+A paragraph is a \\n-separated line with words (letters, digits, non-ASCII; A-Z lower-cased), and also a
+run of neighbouring lines of at most WRAP_WORDS words each, as hard-wrapped text has them. Paragraphs
+of equal word sequences are one unit. Bands of 3 minima over five-word shingles are tuned for recall: a pair at exactly 0.8 shares one of 9 bands with probability 0.998.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from claimscope.llm.near_dedup import GRAMS, SIMILARITY, WORDS, band_keys, same_
 from claimscope.llm.textnum import ALNUM, LOWER, U, mix, prefix_sums, range_hash, row_chunks, shingles, strings, words
 
 BANDS, ROWS = 9, 3
-#: Shorter repeated paragraphs (headings, stock lines) are left in place.
-MIN_WORDS = 10
+#: Lines of hard-wrapped text have at most so many words (some 150 characters).
+WRAP_WORDS = 25
 
 
 def _binary16(high: np.ndarray, low: np.ndarray) -> pa.Array:
@@ -29,65 +29,79 @@ def _binary16(high: np.ndarray, low: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(high), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
 
 
+def _units(part: np.ndarray, bounds: np.ndarray, wanted: np.ndarray | None = None):
+    """(index, words, keys, bands) of the segments of ``part`` between ``bounds`` that have words (and are ``wanted``); words of all segments."""
+    srow, value, count = shingles(part, bounds, WORDS)
+    ws, we, _ = words(part, bounds, ALNUM)
+    w = range_hash(prefix_sums(LOWER[part]), ws, we)
+    first = np.cumsum(count) - count
+    place = np.arange(len(w)) - np.repeat(first, count)
+    keys = []
+    for salt in (1, 2):
+        total = np.append(U(0), np.cumsum(mix(w + mix(place.astype(U) * U(2) + U(salt)))))
+        keys.append(mix(total[first + count] - total[first] + count.astype(U)))
+    has = np.flatnonzero(count > 0 if wanted is None else (count > 0) & wanted)
+    sig = np.empty((len(has), BANDS * ROWS), U)
+    if len(has):
+        sfirst = np.searchsorted(srow, has)
+        inside = np.isin(srow, has)
+        kept, at = value[inside], np.cumsum(np.append(0, inside))[sfirst]
+        for k in range(BANDS * ROWS):
+            sig[:, k] = np.minimum.reduceat(mix(kept ^ mix(np.full(1, k + 1, U))), at)
+    return has, count[has], _binary16(keys[0][has], keys[1][has]), band_keys(sig, BANDS, ROWS).view(np.int64).reshape(-1), count
+
+
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = strings(batch.column(2))
+        data, offsets = strings(batch.column(3))
         for i, j in row_chunks(offsets):
             part, rows = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
             breaks = np.flatnonzero(part == 0x0A)
             start = np.sort(np.concatenate([rows[:-1], breaks + 1]))
-            end = np.sort(np.concatenate([breaks, rows[1:]]))
             per_row = np.searchsorted(breaks, rows[1:]) - np.searchsorted(breaks, rows[:-1]) + 1
             row = np.repeat(np.arange(j - i), per_row)
             index = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+            n_lines = np.ones(len(row), np.int64)
             # a line runs up to the next line's start: the break between them is no word
-            lines = np.append(start, len(part))
-            srow, value, count = shingles(part, lines, WORDS)
-            ws, we, _ = words(part, lines, ALNUM)
-            w = range_hash(prefix_sums(LOWER[part]), ws, we)
-            first = np.cumsum(count) - count
-            place = np.arange(len(w)) - np.repeat(first, count)
-            keys = []
-            for salt in (1, 2):
-                total = np.append(U(0), np.cumsum(mix(w + mix(place.astype(U) * U(2) + U(salt)))))
-                keys.append(mix(total[first + count] - total[first] + count.astype(U)))
-            has = np.flatnonzero(count >= MIN_WORDS)
-            sfirst = np.searchsorted(srow, has)
-            sig = np.empty((len(has), BANDS * ROWS), U)
-            if len(has):
-                inside = np.isin(srow, has)
-                kept, at = value[inside], np.cumsum(np.append(0, inside))[sfirst]
-                for k in range(BANDS * ROWS):
-                    sig[:, k] = np.minimum.reduceat(mix(kept ^ mix(np.full(1, k + 1, U))), at)
-            bands = band_keys(sig, BANDS, ROWS).view(np.int64).reshape(-1)
-            rows_of = pa.array(row[has] + i)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows_of), batch.column(1).take(rows_of), pa.array(index[has], pa.int32()), pa.array(count[has], pa.int32()),
-                 _binary16(keys[0][has], keys[1][has]),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands))],
-                ["doc_id", "tag", "line", "n_words", "key", "bands"])
+            *lines, count = _units(part, np.append(start, len(part)))
+            made = [(lines, row, index, n_lines)]
+            short = (count > 0) & (count <= WRAP_WORDS)
+            heads = np.flatnonzero(~np.append(False, short[1:] & short[:-1] & (row[1:] == row[:-1])))
+            n_lines = np.diff(np.append(heads, len(row)))
+            if (n_lines > 1).any():
+                *runs, _ = _units(part, np.append(start[heads], len(part)), n_lines > 1)
+                made.append((runs, row[heads], index[heads], n_lines))
+            for (has, n_words, keys, bands), row, index, n_lines in made:
+                rows_of = pa.array(row[has] + i)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows_of), batch.column(1).take(rows_of), batch.column(2).take(rows_of), pa.array(index[has], pa.int32()),
+                     pa.array(n_lines[has], pa.int32()), pa.array(n_words, pa.int32()), keys,
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands))],
+                    ["doc_id", "tag", "nr", "line", "n_lines", "n_words", "key", "bands"])
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n_words, class_doc_id, class_line, removed): every paragraph that has a copy or near copy.
+    """(doc_id, line, n_words, class_doc_id, class_line, removed, n_lines): every paragraph that has a copy or near copy.
 
-    The class is named by its first paragraph (smallest doc_id, then line), which stays; the others
-    are removed. Null and empty texts have no paragraphs, paragraphs under MIN_WORDS words are not
-    compared, rows that repeat a doc_id count as separate documents. Only doc_id and text are read.
+    ``line`` is the first of ``n_lines``: 1, or more for a run of short lines, whose lines are also paragraphs of
+    their own. The class is named by its first paragraph (smallest doc_id, then line), of which one row
+    stays; the others are removed, but not those that overlap it in its own document. Null and empty texts have no
+    paragraphs, rows that repeat a doc_id count as separate documents. Only doc_id and text are read.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, line int, n_words int, key binary, bands array<bigint>"
-    units = stored(texts.mapInArrow(_paragraphs, schema))
-    place = F.struct("doc_id", "line", "tag")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, nr bigint, line int, n_lines int, n_words int, key binary, bands array<bigint>"
+    numbered = texts.select("doc_id", "tag", F.monotonically_increasing_id().alias("nr"), "text")  # only read from the stored units
+    units = stored(numbered.mapInArrow(_paragraphs, schema))
+    place = F.struct("doc_id", "line", "tag", "nr", "n_lines")
     firsts = stored(units.groupBy("key").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies")))
 
     def texts_of(keys: DataFrame) -> DataFrame:
         need = keys.join(firsts, "key")
-        need = stored(need.select(F.col("at.doc_id").alias("d"), F.col("at.tag").alias("t"), F.struct("at.line", "key").alias("x"))
+        need = stored(need.select(F.col("at.doc_id").alias("d"), F.col("at.tag").alias("t"), F.struct("at.line", "at.n_lines", "key").alias("x"))
                       .groupBy("d", "t").agg(F.collect_list("x").alias("xs")))
         found = texts.join(sized(need, 200), texts.doc_id.eqNullSafe(F.col("d")) & (texts.tag == F.col("t")))
         found = found.select(F.split("text", "\n").alias("lines"), F.explode("xs").alias("x")).select(
-            "x.key", F.element_at("lines", F.col("x.line") + 1).alias("text"))
+            "x.key", F.array_join(F.slice("lines", F.col("x.line") + 1, F.col("x.n_lines")), "\n").alias("text"))
         return found.dropDuplicates(["key"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -102,7 +116,14 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     _, comp = link_near(units.select("key", F.explode("bands").alias("band")), verified, grams, SIMILARITY)
     known = firsts.join(comp, "key", "left").select("key", "at", "copies", F.coalesce("comp", "key").alias("comp"))
     classes = known.groupBy("comp").agg(F.min("at").alias("head"), F.sum("copies").alias("n")).where("n > 1")
-    marked = known.join(classes, "comp").select("key", "head")
-    return units.join(marked, "key").select(
-        "doc_id", "line", "n_words", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line").alias("class_line"),
-        (~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line") == F.col("head.line")) & (F.col("tag") == F.col("head.tag")))).alias("removed"))
+    marked = known.join(classes, "comp").select("key", "comp", "head")
+    rows = units.join(marked, "key")
+    same = F.col("nr") == F.col("head.nr")
+    first = same & (F.col("line") == F.col("head.line")) & (F.col("n_lines") == F.col("head.n_lines"))
+    overlaps = (same & (F.col("line") < F.col("head.line") + F.col("head.n_lines")) & (F.col("head.line") < F.col("line") + F.col("n_lines")))
+    rows = stored(rows.where(first | ~overlaps).select("doc_id", "line", "n_words", F.col("head.doc_id").alias("class_doc_id"),
+                                                       F.col("head.line").alias("class_line"), (~first).alias("removed"), "n_lines", "comp"))
+    removed = rows.where("removed")
+    # a head whose class holds nothing else than what overlaps it has no copy
+    heads = rows.where("not removed").join(removed.select("comp").distinct(), "comp", "left_semi")
+    return removed.unionByName(heads).drop("comp")

@@ -175,6 +175,19 @@ def test_paragraph_dedup(spark):
     assert paragraph_dedup.repeated_paragraphs(df.limit(0)).count() == 0
 
 
+def test_paragraph_dedup_of_short_and_wrapped_lines(spark):
+    """Short lines are compared, a wrapped copy meets its single line, one row of a repeated head stays."""
+    w = prose(51, 60).split()
+    wrapped = "\n".join(" ".join(w[i:i + 8]) for i in range(0, 60, 8))
+    long = " ".join(prose(52, 30).split())
+    twice = "\n".join([" ".join(prose(55, 20).split()), "ends here"])  # its run is near its own first line
+    rows = [(1, "Read more\n\n" + " ".join(w)), (2, "Read more\n\n" + wrapped), (3, "\nread  MORE!"), (4, long), (4, long), (5, twice)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.line, r.n_lines, r.class_doc_id, r.class_line, r.removed) for r in paragraph_dedup.repeated_paragraphs(df).collect())
+    assert got == Counter([(1, 0, 1, 1, 0, False), (2, 0, 1, 1, 0, True), (3, 1, 1, 1, 0, True), (1, 2, 1, 1, 2, False), (2, 2, 8, 1, 2, True),
+                           (4, 0, 1, 4, 0, False), (4, 0, 1, 4, 0, True)])
+
+
 def brute_spans(text):
     out = []
     for k, p in enumerate(pii.PATTERNS):
