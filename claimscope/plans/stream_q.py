@@ -72,8 +72,8 @@ KNOWN = C.REQUEST_FIELDS
 @query("p14_unknown_fields")
 def p14_unknown_fields(spark, sf_dir):
     """Requests (JSON) carrying keys outside the contract are rejected with those keys."""
-    raw = raw_claims(spark, sf_dir, with_text=False)
-    cols = [c for c in KNOWN if c in raw.columns and c != "issueDesc"]
+    raw = raw_claims(spark, sf_dir)
+    cols = [c for c in KNOWN if c in raw.columns]
     extra = F.when(F.col("claim_key") % 50 == 0, F.lit("gold"))
     js = raw.select("claim_id", F.to_json(F.struct(*cols, extra.alias("customer_tier"))).alias("body"))
     unknown = F.array_except(F.json_object_keys("body"), F.array(*[F.lit(k) for k in KNOWN]))
@@ -133,7 +133,7 @@ def t4_stream_routing(spark, sf_dir):
     import uuid
     from claimscope.session import ensure_checkpoint_dir
     root = f"{ensure_checkpoint_dir(spark)}/t4-{uuid.uuid4().hex}"
-    raw = raw_claims(spark, sf_dir, with_text=False).withColumn("issueDesc", F.lit("narrative on file"))
+    raw = raw_claims(spark, sf_dir)
     raw.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
     routed = J.route_stream(stream, _score_and_flag_inputs)
