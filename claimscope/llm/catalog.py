@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from claimscope.llm import chat_format, decontaminate, language, licences, near_dedup, paragraph_dedup, pieces, pii, quality_rules, substring_dedup
+from pyspark.sql import functions as F
+
+from claimscope.llm import (chat_format, decontaminate, fill_middle, language, licences, near_dedup, paragraph_dedup, periodic_runs, pieces, pii,
+                            quality_rules, substring_dedup, wrappers)
 from claimscope.llm.common import table
 
 DECONTAMINATION_SQL = r"""
@@ -64,6 +67,36 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+def op12_fill_middle(spark, sf_dir):
+    out = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_html_extraction(spark, sf_dir):
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+FILL_MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2,
+             ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, array_to_string(list_slice(w, 1, a), '') AS pre, array_to_string(list_slice(w, a + 1, b), '') AS mid,
+             array_to_string(list_slice(w, b + 1, n), '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x
+"""
+
 CHAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -78,5 +111,6 @@ FROM f GROUP BY conv_id
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_pii, op3_decontamination, op4_license_scan, op5_substring_dedup, op6_sentencepiece,
-    op7_language_id, op8_quality_rules, op9_chat_formatting, op10_minhash_near_dedup)}
-ORACLES = {"op3_decontamination": DECONTAMINATION_SQL, "op9_chat_formatting": CHAT_SQL}
+    op7_language_id, op8_quality_rules, op9_chat_formatting, op10_minhash_near_dedup,
+    op11_periodic_runs, op12_fill_middle, op13_html_extraction)}
+ORACLES = {"op3_decontamination": DECONTAMINATION_SQL, "op9_chat_formatting": CHAT_SQL, "op12_fill_middle": FILL_MIDDLE_SQL}
