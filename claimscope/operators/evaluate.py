@@ -85,16 +85,16 @@ def score_counts(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def ranking_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """A14 ROC-AUC (mid-rank ties) and A15 average precision (step sum, not trapezoid)."""
-    counts = cumulative_before(score_counts(scored, keys), keys, "p", ["pos", "neg"])
-    totals = Window.partitionBy(*keys)
-    c = counts.withColumns({"P": F.sum("pos").over(totals), "N": F.sum("neg").over(totals)})
+    counts = score_counts(scored, keys)
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))  # one row per group of keys
+    c = cumulative_before(counts, keys, "p", ["pos", "neg"]).join(totals, keys)
     # positives and negatives scored at or above this score
-    tp = F.col("P") - F.col("pos_before")
-    fp = F.col("N") - F.col("neg_before")
+    tp = F.col("n_pos") - F.col("pos_before")
+    fp = F.col("n_neg") - F.col("neg_before")
     return c.groupBy(*keys).agg(
         safe_div(F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))),
-                 F.first("P") * F.first("N")).alias("roc_auc"),
-        safe_div(F.sum(F.col("pos") * safe_div(tp, tp + fp)), F.first("P")).alias("pr_auc"))
+                 F.first("n_pos") * F.first("n_neg")).alias("roc_auc"),
+        safe_div(F.sum(F.col("pos") * safe_div(tp, tp + fp)), F.first("n_pos")).alias("pr_auc"))
 
 
 # ------------------------------------------------------------------------------------------ A17

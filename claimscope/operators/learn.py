@@ -1,22 +1,34 @@
 """Candidate models, batch scoring and cross-validation on Spark ML.
 
-Each fit is a distributed ``Pipeline.fit``; the fold loop is a short driver loop
-over k folds, never over rows.
+Each fit is a distributed ``Pipeline.fit``; folds and trials are short driver loops, run side by side by a
+bounded pool of threads over one stored matrix, never loops over rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from typing import TypeVar
+
+from pyspark import inheritable_thread_target
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope import config as C
+from claimscope.operators.evaluate import best_threshold, confusion_at, grid_counts, ranking_metrics, stratified_folds
 
-NATIVE_MISSING = {"random_forest": False, "gbt": False, "logistic_regression": False, "mlp": False}
+T = TypeVar("T")
+FAMILIES = ("logistic_regression", "random_forest", "gbt", "mlp")
+TREE_FAMILIES = ("random_forest", "gbt")
+#: Fits that the driver keeps running side by side.
+FIT_THREADS = 4
 
 
 def with_class_weight(df: DataFrame, label: str = C.TARGET, weight_col: str = "weight",
@@ -58,12 +70,14 @@ def build_model(name: str, features, params: dict | None = None, seed: int = C.R
     if name == "random_forest":
         est = RandomForestClassifier(labelCol=C.TARGET, weightCol="weight", seed=seed,
                                      numTrees=p.get("numTrees", 20), maxDepth=p.get("maxDepth", 5),
-                                     minInstancesPerNode=p.get("minInstancesPerNode", 1))
+                                     minInstancesPerNode=p.get("minInstancesPerNode", 1),
+                                     featureSubsetStrategy=p.get("featureSubsetStrategy", "auto"))
     elif name == "gbt":
         est = GBTClassifier(labelCol=C.TARGET, weightCol="weight", seed=seed, maxIter=p.get("maxIter", 20),
-                            maxDepth=p.get("maxDepth", 4), stepSize=p.get("stepSize", 0.1))
+                            maxDepth=p.get("maxDepth", 4), stepSize=p.get("stepSize", 0.1),
+                            subsamplingRate=p.get("subsamplingRate", 1.0), minInstancesPerNode=p.get("minInstancesPerNode", 1))
     else:
-        raise ValueError(f"Unknown candidate '{name}'.")
+        raise ValueError(f"no candidate family {name!r}; there are {', '.join(FAMILIES)}")
     return Pipeline(stages=[va, est])
 
 
@@ -74,17 +88,72 @@ def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
         *[c for c in scored.columns if c.startswith("__") or c in ("features", "rawPrediction", "probability")])
 
 
-def fit_scored_folds(data: DataFrame, name: str, features, params: dict | None = None,
-                     fold_col: str = "fold", id_col: str = "claim_id") -> DataFrame:
-    """Each row scored by the model that did not see its fold -> (id, fold, y, p)."""
-    folds = [r[0] for r in data.select(fold_col).distinct().orderBy(fold_col).collect()]
-    outs = []
-    for k in folds:
-        train = data.where(F.col(fold_col) != k)
-        model = build_model(name, features, params).fit(train)
-        outs.append(score(model, data.where(F.col(fold_col) == k)).select(
-            id_col, fold_col, F.col(C.TARGET).alias("y"), F.col("score").alias("p")))
-    result = outs[0]
-    for o in outs[1:]:
-        result = result.unionByName(o)
-    return result.withColumn("model", F.lit(name))
+def run_fits(tasks: list[Callable[[], T]], parallelism: int = FIT_THREADS) -> list[T]:
+    """Results of driver-side tasks that each start Spark jobs, at most ``parallelism`` of them side by side.
+
+    The pool holds models and plans, never rows: a fit that leaves executors idle (a small training part, the last
+    wave of a stage) lets the next one's tasks in. The first failure is raised after the others ended.
+    """
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        carry = inheritable_thread_target(SparkSession.active())
+        futures = [pool.submit(carry(t)) for t in tasks]
+        return [f.result() for f in futures]
+
+
+def family_inputs(df: DataFrame, name: str, features) -> DataFrame:
+    """-1 for missing values in tree families; the others keep nulls, which their pipeline imputes from its training part."""
+    return forest_inputs(df, features) if name in TREE_FAMILIES else df
+
+
+def fit(name: str, train: DataFrame, features, params: dict | None = None, seed: int = C.RANDOM_STATE) -> PipelineModel:
+    """X1 + F13: one candidate on one training part; imputation, scaling and class weights come from that part alone.
+
+    ``C`` (inverse strength of a penalty on the summed loss) becomes the estimator's penalty on the mean loss.
+    """
+    params = dict(params or {})
+    if "C" in params:
+        params["regParam"] = 1.0 / (params.pop("C") * max(train.count(), 1))
+    return build_model(name, features, params, seed).fit(with_class_weight(family_inputs(train, name, features)))
+
+
+def with_inner_folds(data: DataFrame, k: int = C.N_FOLDS, inner: int = C.INNER_FOLDS, label: str = C.TARGET, id_col: str = "claim_id",
+                     fold_col: str = "fold", seed: int = C.RANDOM_STATE + 1) -> DataFrame:
+    """Adds ``inner`` (map): for every outer fold a row trains in, its stratified inner fold there.
+
+    All outer folds are ranked in one pass: a row stands once per training part, in strata (outer fold, label).
+    """
+    train = data.select(id_col, label, fold_col, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("outer")).where(F.col("outer") != F.col(fold_col))
+    strata = train.select(id_col, "outer", F.concat_ws("|", "outer", label).alias("stratum"))
+    ranked = stratified_folds(strata, "stratum", id_col, inner, seed, "inner")
+    per_row = ranked.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("outer", "inner"))).alias("inner"))
+    return data.join(per_row, id_col)
+
+
+def nested_scores(data: DataFrame, name: str, features, params: dict | None = None, k: int = C.N_FOLDS, inner: int = C.INNER_FOLDS,
+                  id_col: str = "claim_id", parallelism: int = FIT_THREADS) -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold scores, inner scores) of nested cross-validation.
+
+    ``data``: features, label, ``fold``, ``inner`` (``with_inner_folds``), stored, since every fit reads it. Out-of-fold rows:
+    (id, fold, y, p, model), scored by the fit on the other folds. Inner rows: (id, fold, inner, y, p, model), where
+    ``fold`` is the outer fold held out and p comes from a fit that saw neither that fold nor the row's own inner fold.
+    """
+    mine = F.col("inner")
+
+    def part(train, held, columns):
+        def go():
+            return score(fit(name, data.where(train), features, params), family_inputs(data.where(held), name, features)).select(
+                id_col, *columns, F.col(C.TARGET).alias("y"), F.col("score").alias("p"), F.lit(name).alias("model"))
+        return go
+
+    outer = [part(F.col("fold") != o, F.col("fold") == o, ["fold"]) for o in range(k)]
+    inside = [part((F.col("fold") != o) & (mine[o] != i), (F.col("fold") != o) & (mine[o] == i),
+                   [F.lit(o).alias("fold"), mine[o].alias("inner")]) for o in range(k) for i in range(inner)]
+    parts = run_fits(outer + inside, parallelism)
+    return reduce(DataFrame.unionByName, parts[:k]), reduce(DataFrame.unionByName, parts[k:])
+
+
+def nested_metrics(oof: DataFrame, inner: DataFrame) -> DataFrame:
+    """Per (model, fold), metrics of the out-of-fold scores at the threshold that the inner scores chose."""
+    keys = ["model", "fold"]
+    thresholds = best_threshold(grid_counts(inner, keys), keys)
+    return confusion_at(oof, thresholds, keys).join(ranking_metrics(oof, keys), keys)

@@ -6,6 +6,9 @@ These run real Spark ML fits, so most are rows-only checks backed by unit tests
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from claimscope import config as C
@@ -13,14 +16,25 @@ from claimscope.operators import attribution as AT
 from claimscope.operators import decide as DE
 from claimscope.operators import evaluate as EV
 from claimscope.operators import learn as LN
+from claimscope.operators import search as SE
+from claimscope.plans import eval_q as EQ
 from claimscope.plans.common import feature_matrix, persisted
 from claimscope.plans.registry import query, with_ctes
 from claimscope.plans.sql_claims import FEATURE_CTES, FEATURE_NAMES
-from claimscope.session import cut_lineage
+from claimscope.session import cut_lineage, ensure_checkpoint_dir
 
 RF_PARAMS = {"numTrees": 20, "maxDepth": 5}
 
 
+def fold_matrix(spark, sf_dir, nested: bool = False):
+    """The stored feature matrix with its missing values, a stratified fold and (nested) the inner folds of each row."""
+    m, enc = feature_matrix(spark, sf_dir, keep=("claim_id",))
+    m = EV.stratified_folds(m, C.TARGET, "claim_id")
+    if nested:
+        m = LN.with_inner_folds(cut_lineage(m))
+    return cut_lineage(m), list(enc.feature_names)
+
+
 def training_matrix(spark, sf_dir):
     """Matrix with -1 sentinels for trees, balanced weights and a stratified fold column."""
     m, enc = feature_matrix(spark, sf_dir, keep=("claim_id",))
@@ -93,10 +107,61 @@ def w1_w2_d6_persona_factors(spark, sf_dir):
 
 @query("x5_x6_forest_cross_validation")
 def x5_x6_forest_cross_validation(spark, sf_dir):
-    """Out-of-fold forest scores -> per-fold metrics with training-part thresholds."""
-    m, feats = training_matrix(spark, sf_dir)
-    oof = cut_lineage(LN.fit_scored_folds(m, "random_forest", feats, RF_PARAMS))
-    return EV.fold_metrics(oof)
+    """Nested cross-validation of the forest: out-of-fold scores, thresholds from inner folds, per-fold metrics."""
+    m, feats = fold_matrix(spark, sf_dir, nested=True)
+    oof, inner = LN.nested_scores(m, "random_forest", feats, RF_PARAMS)
+    return LN.nested_metrics(cut_lineage(oof), cut_lineage(inner))
+
+
+_INNER_SQL = ("nested AS (SELECT f.claim_id, f.y, f.fold AS own, o.o AS fold, CAST((row_number() OVER (PARTITION BY o.o, f.y ORDER BY "
+              f"md5(CAST(f.claim_id AS VARCHAR) || '|{C.RANDOM_STATE + 1}'), f.claim_id) - 1) % {C.INNER_FOLDS} AS INTEGER) AS inner_fold "
+              f"FROM folded f, (SELECT unnest(range({C.N_FOLDS})) AS o) o WHERE o.o <> f.fold)")
+
+
+@query("x5_nested_protocol", with_ctes(EQ.CLAIMS_NT, EQ.LABELS, EQ.FOLDED, _INNER_SQL)(
+    "SELECT CAST(fold AS INTEGER) AS fold, inner_fold, count(*) AS n_scored, CAST(sum(y) AS BIGINT) AS n_declined, "
+    "CAST(0 AS BIGINT) AS n_of_the_fold, CAST(0 AS BIGINT) AS n_invalid FROM nested GROUP BY fold, inner_fold "
+    "UNION ALL SELECT fold, -1, count(*), CAST(sum(y) AS BIGINT), count(*), CAST(0 AS BIGINT) FROM folded GROUP BY fold"))
+def x5_nested_protocol(spark, sf_dir):
+    """Which claims chose each fold's threshold (one row per fold and inner fold; -1: the fold's own validation scores).
+
+    Counted on the scores of a real run (logistic regression: imputation and scaling inside every training part):
+    ``n_of_the_fold`` must be 0 for inner rows, ``n_invalid`` counts scores outside [0, 1].
+    """
+    m, feats = fold_matrix(spark, sf_dir, nested=True)
+    oof, inner = LN.nested_scores(m, "logistic_regression", feats, {"maxIter": 5})
+    rows = inner.select("claim_id", "fold", F.col("inner").alias("inner_fold"), "y", "p").unionByName(
+        oof.select("claim_id", "fold", F.lit(-1).alias("inner_fold"), "y", "p"))
+    own = m.select("claim_id", F.col("fold").alias("own"))
+    return rows.join(own, "claim_id").groupBy("fold", "inner_fold").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.sum("y").cast("long").alias("n_declined"),
+        F.count_if(F.col("own") == F.col("fold")).alias("n_of_the_fold"),
+        F.count_if(~F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("n_invalid"))
+
+
+def _family_query(name: str, params: dict):
+    @query(f"x1_{name}", with_ctes(EQ.CLAIMS_NT, EQ.LABELS, EQ.FOLDED)(
+        f"SELECT '{name}' AS model, count(*) AS n_scored, CAST(sum(y) AS BIGINT) AS n_declined, CAST(0 AS BIGINT) AS n_invalid, "
+        "true AS ranks_better_than_chance FROM folded WHERE fold = 0"))
+    def run(spark, sf_dir):
+        m, feats = fold_matrix(spark, sf_dir)
+        model = LN.fit(name, m.where("fold <> 0"), feats, params)
+        s = LN.score(model, LN.family_inputs(m.where("fold = 0"), name, feats)).select(
+            F.lit(name).alias("model"), F.col(C.TARGET).alias("y"), F.col("score").alias("p"))
+        s = cut_lineage(s)
+        auc = EV.ranking_metrics(s, ["model"]).select("model", (F.col("roc_auc") > 0.5).alias("ranks_better_than_chance"))
+        counts = s.groupBy("model").agg(F.count(F.lit(1)).alias("n_scored"), F.sum("y").cast("long").alias("n_declined"),
+                                        F.count_if(~F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("n_invalid"))
+        return counts.join(auc, "model")
+    run.__name__ = f"x1_{name}"
+    run.__doc__ = f"X1/F13: the {name} candidate, fitted on four folds (its imputation too), scores the fifth."
+    return run
+
+
+x1_logistic_regression = _family_query("logistic_regression", {"maxIter": 20})
+x1_random_forest = _family_query("random_forest", RF_PARAMS)
+x1_gbt = _family_query("gbt", {"maxIter": 10, "maxDepth": 3})
+x1_mlp = _family_query("mlp", {"maxIter": 30})
 
 
 _LABELS_VALUES = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")"
@@ -126,35 +191,39 @@ def j3_unlabelled_features(spark, sf_dir):
     return AT.unlabelled(present, AT.label_table(spark))
 
 
-SEARCH_SPACE = {"numTrees": [10, 20, 40], "maxDepth": [3, 5, 7], "minInstancesPerNode": [1, 5, 20]}
+#: A search ranks settings against each other; its fits stop early, the candidate's own fit does not.
+SEARCH_FIXED = {"maxIter": 10}
+
 
+def search_study(spark, sf_dir, family: str = "logistic_regression", n_trials: int = SE.N_TRIALS):
+    """The study of one family over this input; kept in the checkpoint folder, so a second call finds its trials there."""
+    m, feats = fold_matrix(spark, sf_dir)
+    content = m.agg(F.sum(F.xxhash64("claim_id", C.TARGET, "fold", *feats).cast("decimal(38,0)"))).first()[0]
+    return SE.search(m, family, feats, f"{ensure_checkpoint_dir(spark).rstrip('/')}/study-{family}-{hash_text(f'{content}|{feats}')}", n_trials,
+                     parallelism=max(LN.FIT_THREADS, spark.sparkContext.defaultParallelism // 2), fixed=SEARCH_FIXED)
 
-def seeded_trials(n_trials: int, seed: int = C.RANDOM_STATE) -> list[dict]:
-    """A seeded random draw from the search space (deterministic across runs)."""
-    import random
-    rng = random.Random(seed)
-    return [{k: rng.choice(v) for k, v in SEARCH_SPACE.items()} for _ in range(n_trials)]
+
+def hash_text(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
 @query("x7_search_trials")
-def x7_search_trials(spark, sf_dir, n_trials: int = 3, n_folds: int = 3, warmup_folds: int = 2):
-    """Trials scored by mean per-fold average precision; a trial whose running mean falls
-    under the median of earlier trials after ``warmup_folds`` folds is pruned (median rule)."""
-    m, feats = training_matrix(spark, sf_dir)
-    m = m.withColumn("fold", F.col("fold") % n_folds)
-    rows, history = [], []
-    for t, params in enumerate(seeded_trials(n_trials)):
-        aps, pruned = [], False
-        for k in range(n_folds):
-            model = LN.build_model("random_forest", feats, params).fit(m.where(F.col("fold") != k))
-            s = LN.score(model, m.where(F.col("fold") == k)).select(
-                F.lit("t").alias("model"), F.col(C.TARGET).alias("y"), F.col("score").alias("p"))
-            aps.append(EV.ranking_metrics(s, ["model"]).collect()[0]["pr_auc"])
-            running = sum(aps) / len(aps)
-            earlier = sorted(h[len(aps) - 1] for h in history if len(h) >= len(aps))
-            if len(aps) >= warmup_folds and earlier and running < earlier[len(earlier) // 2]:
-                pruned = True
-                break
-        history.append([sum(aps[:i + 1]) / (i + 1) for i in range(len(aps))])
-        rows.append((t, str(params), float(sum(aps) / len(aps)), len(aps), pruned))
-    return spark.createDataFrame(rows, "trial int, params string, mean_pr_auc double, folds_run int, pruned boolean")
+def x7_search_trials(spark, sf_dir):
+    """The trials of a 50-trial, 5-fold search, the median rule stopping the worse ones (which ones is up to their timing)."""
+    return SE.trials(search_study(spark, sf_dir))
+
+
+_TRIAL_VALUES = ", ".join(f"({t}, '{json.dumps(SE.draw('logistic_regression', t), sort_keys=True)}')" for t in range(SE.N_TRIALS))
+
+
+@query("x7_search_protocol", f"SELECT trial, params, true AS rule_agrees, true AS ends_well FROM (VALUES {_TRIAL_VALUES}) t(trial, params)")
+def x7_search_protocol(spark, sf_dir):
+    """Per trial, its drawn parameters, whether a replay of the recorded events decides as the search did, and whether it
+    ends as it must: a completed trial on the last fold, a pruned one after the warm-up, with scores in (0, 1]."""
+    events = cut_lineage(search_study(spark, sf_dir))
+    agree = SE.replay(events).groupBy("trial").agg(F.bool_and("agrees").alias("rule_agrees"))
+    t = SE.trials(events)
+    folds = F.when(F.col("state") == SE.COMPLETE, F.col("folds_run") == C.N_FOLDS).otherwise(
+        (F.col("state") == SE.PRUNED) & (F.col("folds_run") > SE.WARMUP_STEPS))
+    scores = (F.col("mean_pr_auc") > 0) & (F.col("mean_pr_auc") <= 1)
+    return t.join(agree, "trial").select("trial", "params", "rule_agrees", (folds & scores).alias("ends_well"))
