@@ -14,7 +14,7 @@ from claimscope.plans.sql_claims import FEATURE_CTES, FEATURE_NAMES
 
 FEATURES = list(FEATURE_NAMES) + [C.SCORE_FEATURE]
 SCORE_SQL = ("CAST((claim_key * 104729) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) * CAST(0.8 AS DOUBLE) "
-             "+ CASE WHEN status = 1 AND claim_key % 2 = 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")
+             "+ CASE WHEN claim_key % 34 = 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")
 CURRENT_RULE = "claim_key % 4 = 0"   # the live batch; the rest is the frozen training reference
 
 

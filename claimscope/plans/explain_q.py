@@ -1,4 +1,4 @@
-"""Decision and explanation-check queries."""
+"""Decision and explanation-check queries."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from claimscope.plans.registry import query, with_ctes
 from claimscope.sources.claims import claims_sql, raw_claims
 
 PERSONAS = tuple(C.PERSONAS)
+THRESHOLD = 0.5
 _DIAG_CNT = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in C.DIAGNOSTIC_COLUMNS)
 
 # (column, SQL) valid in both engines, over the raw claim columns + status.
@@ -22,8 +23,11 @@ DECISION_EXPRS = [
     ("rrp_eur", "CASE WHEN rrp <= 0 THEN NULL WHEN country = 'SE' THEN rrp / CAST(10.3 AS DOUBLE) ELSE rrp END"),
     ("fee_eur", "CASE WHEN country = 'SE' THEN excessFee / CAST(10.3 AS DOUBLE) ELSE excessFee END"),
     ("diag_completeness", f"CAST({_DIAG_CNT} AS BIGINT)"),
+    ("balance_eur", "CASE WHEN country = 'SE' THEN balanceRRP / CAST(10.3 AS DOUBLE) ELSE balanceRRP END"),
+    ("deviceType", "deviceType"), ("coverage", "coverage"), ("country", "country"), ("channel", "channel"), ("productCode", "productCode"),
+    # a stand-in for a model's output that both engines can compute; it reads no label
     ("score", "CAST((claim_key * 104729) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) * CAST(0.8 AS DOUBLE) "
-              "+ CASE WHEN status = 'Declined' AND claim_key % 2 = 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"),
+              "+ CASE WHEN coverage = 'ADLD/THEFT' AND claim_key % 2 = 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"),
 ]
 _FLAGS_SQL = ("list_filter([CASE WHEN claimType = 'Theft' THEN 'theft_claim' END, "
               "CASE WHEN policyStatus = 'Grace Period' THEN 'grace_period_policy' END, "
@@ -69,51 +73,17 @@ def d2_route_and_outcome(spark, sf_dir):
                     DE.outcome_statement(F.col("requires_human_review")).alias("outcome_statement"))
 
 
-@query("d3_decision_records")
-def d3_decision_records(spark, sf_dir):
-    """D3: the decision record per claim (rows-only: the record is D1 + D2 + constants)."""
-    d = decisions(spark, sf_dir).withColumnRenamed("flags", "risk_flags")
-    return d.select("claim_id", F.round("score", 4).alias("decline_risk_score"), "decision",
-                    "requires_human_review", "human_review_reason", "risk_flags",
-                    F.lit(0.5).alias("decision_threshold"), F.lit("1").alias("model_version"))
-
-
-@query("d4_persona_contexts")
-def d4_persona_contexts(spark, sf_dir):
-    """Each persona's context as JSON; withheld blocks are absent keys (rows-only)."""
-    raw = raw_claims(spark, sf_dir, with_text=False)
-    d = decisions(spark, sf_dir).join(raw.select("claim_id", "deviceType", "coverage", "country", "channel",
-                                                 "rrp", "excessFee", "balanceRRP", "productCode"), "claim_id")
-    d = d.withColumns({"decline_risk_score": F.round("score", 4), "decision_threshold": F.lit(0.5),
-                       "model_version": F.lit("1"), "model_algorithm": F.lit("random_forest"),
-                       "policy_class": F.lit(None).cast("string"), "risk_flags": F.col("flags")})
-    parts = [DE.build_context(d, p).select("claim_id", "persona",
-                                           F.to_json(F.struct("*")).alias("context")) for p in PERSONAS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("d16_response_envelopes")
-def d16_response_envelopes(spark, sf_dir):
-    """Per persona envelope keys (customer: 8, no score/threshold/version/flags)."""
-    d = decisions(spark, sf_dir).withColumns({"decline_risk_score": F.round("score", 4),
-                                              "decision_threshold": F.lit(0.5), "risk_flags": F.col("flags")})
-    outs = []
-    for p in PERSONAS:
-        e = DE.envelope(d.select("claim_id", "decision", "requires_human_review", "decline_risk_score",
-                                 "decision_threshold", "risk_flags", "human_review_reason"), p)
-        outs.append(e.select("claim_id", F.lit(p).alias("persona"),
-                             F.lit(",".join(sorted(e.columns))).alias("envelope_keys")))
-    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+def contexts(d):
+    """Decisions with the columns that persona contexts draw on (amounts in EUR), derived once."""
+    return d.withColumns({"rrp": F.col("rrp_eur"), "excessFee": F.col("fee_eur"), "balanceRRP": F.col("balance_eur"), "policy_class": F.lit(None).cast("string"),
+                          "decline_risk_score": F.round("score", 4), "decision_threshold": F.lit(THRESHOLD), "risk_flags": F.col("flags"),
+                          "model_version": F.lit("1"), "model_algorithm": F.lit("stand_in")})
 
 
 # ---------------------------------------------------------------- responses (shared SQL)
 
-def _json(persona: str, summary: str) -> str:
-    factors = "'[\"The cover on the policy\", \"The type of damage reported\"]'"
-    head = f"'{{\"summary\": \"' || {summary} || '\", \"key_factors\": ' || {factors}"
+def _json(persona: str, summary: str, factors: str = "[\"The cover on the policy\", \"The type of damage reported\"]") -> str:
+    head = f"'{{\"summary\": \"' || {summary} || '\", \"key_factors\": {factors}'"
     tail = {
         "customer": "', \"next_steps\": [\"Keep your receipt.\"]}'",
         "adjuster": "', \"risk_assessment\": \"Moderate.\", \"review_notes\": \"Check the diagnostics.\"}'",
@@ -123,6 +93,7 @@ def _json(persona: str, summary: str) -> str:
     return f"{head} || {tail}"
 
 
+_BS = "' || chr(92) || '"   # a backslash, which the two engines read differently inside a literal
 _S_OK = ("'Claim ' || claim_id || ' concerns a device valued at ' || "
          "coalesce(CAST(CAST(floor(rrp_eur) AS BIGINT) AS STRING), 'an unknown amount') || ' EUR.'")
 _VARIANTS = [
@@ -134,10 +105,20 @@ _VARIANTS = [
     lambda p: _json(p, _S_OK + " || ' It was auto-approved.'"),
     lambda p: _json(p, _S_OK + " || ' The probability threshold decided it.'"),
     lambda p: _json(p, _S_OK + " || ' A fee of 98765 EUR applies.'"),
-    lambda p: _json(p, _S_OK + " || ' Someone will review your claim.'"),
+    lambda p: _json(p, _S_OK + " || ' A colleague will check it.'"),
     lambda p: _json(p, "''"),
     lambda p: _json(p, _S_OK + " || ' The decision is final.'"),
     lambda p: _json(p, _S_OK),
+    # escapes and nested leaves: a line break inside an assertion, an escaped letter, an escaped quote before a colon
+    lambda p: _json(p, _S_OK, f'[{{"name": "cover", "detail": {{"text": "It was{_BS}ndeclined before."}}}}]'),
+    lambda p: _json(p, _S_OK + f" || ' It was {_BS}u0064eclined.'"),
+    lambda p: _json(p, _S_OK, f'["a {_BS}"declined{_BS}": b", {{"declined": "no"}}]'),
+    # numbers as leaves, nested; a figure from the context with all its decimals; leaves that meet
+    lambda p: _json(p, _S_OK, '[{"amount": 98765, "parts": [12.5, 4321.25, -7]}, true, null]'),
+    lambda p: _json(p, "'Fee ' || coalesce(CAST(fee_eur AS STRING), 'none') || '.'", '["The claim was", "declined", 3]'),
+    # fields that are there but hold nothing
+    lambda p: _json(p, _S_OK, "[]"), lambda p: _json(p, _S_OK, "0"), lambda p: _json(p, _S_OK, "false"), lambda p: _json(p, _S_OK, "null"),
+    lambda p: _json(p, _S_OK, '"0"'), lambda p: _json(p, _S_OK, "{}"),
 ]
 
 
@@ -149,15 +130,28 @@ def response_sql() -> str:
     return "CASE persona " + " ".join(cases) + " END"
 
 
+#: Facts of each attempt, valid in both engines.
+ATTEMPT_EXPRS = [
+    ("provider_failed", "k % 23 = 0 AND attempt = 1 OR k % 19 = 0 AND attempt = 2"),
+    ("provider", "CASE (k + attempt) % 3 WHEN 0 THEN 'groq' WHEN 1 THEN 'openai' ELSE 'gemini' END"),
+    ("model", "CASE (k + attempt) % 3 WHEN 0 THEN 'llama-3.3-70b' WHEN 1 THEN 'gpt-4o-mini' ELSE 'gemini-2.0-flash' END"),
+    ("latency_ms", "CAST((k * 37 + attempt * 11) % 9000 AS BIGINT)"),
+    ("prompt_tokens", "CAST(100 + k % 900 AS BIGINT)"),
+    ("completion_tokens", "CAST(20 + (k + attempt) % 200 AS BIGINT)"),
+    ("cost_usd", "CAST(120 + k % 900 + (k + attempt) % 200 AS DOUBLE) * CAST(0.000001 AS DOUBLE)"),
+    ("used_fallback_provider", "(k + attempt) % 3 <> 0"),
+]
+
+
 def responses(spark, sf_dir):
-    """One generated response per claim, persona and attempt (two attempts)."""
-    d = decisions(spark, sf_dir)
-    r = (d.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in PERSONAS])))
-         .withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2)))))
-    r = r.withColumn("response", F.expr(response_sql().replace("chr(10)", "char(10)")))
-    return r.withColumns({
-        "provider_failed": F.col("k") % 23 == 0,
-        "context_numbers": F.array("rrp_eur", "fee_eur", EX.half_up(F.col("score"), 4))})
+    """One generated response per claim, persona and attempt (two attempts), with the context its writer was shown."""
+    d = contexts(decisions(spark, sf_dir))
+    d = d.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in PERSONAS])))
+    d = d.withColumn("context", DE.context_json(F.col("persona")))
+    r = d.select("claim_id", "k", "persona", "requires_human_review", "is_declined", "context", "rrp_eur", "fee_eur",
+                 F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    r = r.withColumn("response", F.expr(response_sql().replace("chr(", "char(")))
+    return r.withColumns({n: F.expr(e) for n, e in ATTEMPT_EXPRS}).drop("rrp_eur", "fee_eur")
 
 
 def validated(spark, sf_dir):
@@ -167,18 +161,16 @@ def validated(spark, sf_dir):
 # ---------------------------------------------------------------- DuckDB twin of the validator
 
 _FENCE_SQL = r"trim(regexp_replace(response, '(?m)^\s*```(?:json)?\s*|\s*```\s*$', '', 'g'))"
-_TEXT_SQL = ("lower(array_to_string(list_transform(list_filter(regexp_extract_all(body, '" + EX.STRING_TOKEN.replace("'", "''")
-             + "'), lambda t: NOT ends_with(t, ':')), lambda t: regexp_replace(trim(t), '^\"|\"$', '', 'g')), ' '))")
-
-
 def _schema_errs_sql():
+    """Missing or empty by the parsed JSON type of the field."""
     parts = []
     for p, fields in C.RESPONSE_REQUIRED_FIELDS.items():
         for f in fields:
-            raw = f"json_extract_string(body, '$.{f}')"
-            parts.append(f"CASE WHEN persona = '{p}' AND NOT list_contains(json_keys(body), '{f}') THEN 'schema' END")
-            parts.append(f"CASE WHEN persona = '{p}' AND list_contains(json_keys(body), '{f}') AND "
-                         f"({raw} IS NULL OR {raw} IN ('', '[]', '{{}}', '0', '0.0', 'false')) THEN 'schema' END")
+            kind, raw, at = f"json_type(body, '$.{f}')", f"json_extract_string(body, '$.{f}')", f"json_extract(body, '$.{f}')"
+            empty = (f"CASE {kind} WHEN 'NULL' THEN true WHEN 'VARCHAR' THEN {raw} = '' WHEN 'BOOLEAN' THEN {raw} = 'false' "
+                     f"WHEN 'ARRAY' THEN json_array_length({at}) = 0 WHEN 'OBJECT' THEN len(json_keys({at})) = 0 "
+                     f"ELSE TRY_CAST({raw} AS DOUBLE) = 0 END")
+            parts.append(f"CASE WHEN persona = '{p}' AND ({kind} IS NULL OR {empty}) THEN 'schema' END")
     return parts
 
 
@@ -200,7 +192,12 @@ def _hu(x, d):
     return f"floor(({x}) * {s} + 0.5) / {s}"
 
 
-_ALLOWED = ("flatten(list_transform(list_filter([rrp_eur, fee_eur, " + _hu("score", 4) + "], lambda v: v IS NOT NULL), "
+# every number a persona's context holds: none for customers, amounts, score, threshold and the digits of the product code
+# for the others, and the version for auditors
+_CODE_NUMS = f"list_transform(regexp_extract_all(coalesce(productCode, ''), '{C.NUMBER_TOKEN}', 2), lambda t: CAST(replace(t, ',', '.') AS DOUBLE))"
+_SHOWN = (f"CASE WHEN persona = 'customer' THEN CAST([] AS DOUBLE[]) ELSE list_concat(list_concat([rrp_eur, fee_eur, balance_eur, round(score, 4), "
+          f"CAST({THRESHOLD} AS DOUBLE)], {_CODE_NUMS}), CASE WHEN persona = 'auditor' THEN [CAST(1 AS DOUBLE)] ELSE CAST([] AS DOUBLE[]) END) END")
+_ALLOWED = (f"flatten(list_transform(list_filter({_SHOWN}, lambda v: v IS NOT NULL), "
             "lambda v: [v, " + _hu("v", 2) + ", " + _hu("v", 1) + ", " + _hu("v", 0) + "]))")
 _NUMS = ("list_transform(regexp_extract_all(txt, '" + C.NUMBER_TOKEN + "', 2), "
          "lambda t: CAST(replace(t, ',', '.') AS DOUBLE))")
@@ -208,19 +205,28 @@ _UNGROUNDED = (f"len(list_filter({_NUMS}, lambda v: abs(v) >= {C.GROUNDING_MIN_M
                f"len(list_filter({_ALLOWED}, lambda a: abs(v - a) <= {C.GROUNDING_TOLERANCE} * greatest(abs(a), 1))) = 0))")
 
 RESP_CTES = DEC_CTES + (
-    f"resp AS (SELECT *, {response_sql()} AS response, k % 23 = 0 AS provider_failed FROM dec "
+    f"resp0 AS (SELECT *, {response_sql()} AS response FROM dec "
     f"CROSS JOIN (VALUES {', '.join(f'({chr(39)}{p}{chr(39)})' for p in PERSONAS)}) pp(persona) "
     "CROSS JOIN (VALUES (1), (2)) aa(attempt))",
+    "resp AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in ATTEMPT_EXPRS) + " FROM resp0)",
     f"rb AS (SELECT *, {_FENCE_SQL} AS body FROM resp)",
     "rj0 AS (SELECT *, json_valid(body) AS is_json FROM rb)",
     "rj AS (SELECT * REPLACE (CASE WHEN is_obj THEN body ELSE '{}' END AS body), body AS raw_body, is_obj FROM "
     "(SELECT *, coalesce(json_type(CASE WHEN is_json THEN body ELSE '0' END) = 'OBJECT', false) AS is_obj FROM rj0))",
-    f"rt AS (SELECT *, CASE WHEN is_obj THEN {_TEXT_SQL} END AS txt FROM rj)",
+    # the leaves as DuckDB's own JSON parser walks them
+    "leaves AS (SELECT r.claim_id, r.persona, r.attempt, t.id, CASE t.type WHEN 'VARCHAR' THEN json_extract_string(t.atom, '$') "
+    "WHEN 'NULL' THEN 'none' ELSE CAST(t.atom AS VARCHAR) END AS x FROM rj r, json_tree(r.body) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))",
+    "texts AS (SELECT claim_id, persona, attempt, lower(string_agg(x, ' ' ORDER BY id)) AS txt FROM leaves GROUP BY ALL)",
+    "rt AS (SELECT rj.*, CASE WHEN is_obj THEN coalesce(texts.txt, '') END AS txt FROM rj LEFT JOIN texts USING (claim_id, persona, attempt))",
     f"""val AS (SELECT *, CASE WHEN is_obj THEN {_err_list_sql()} ELSE ['json_parse'] END AS errs,
          CASE WHEN is_obj THEN {_UNGROUNDED} ELSE 0 END AS n_warn FROM rt)""",
-    "vsum AS (SELECT claim_id, k, persona, attempt, provider_failed, len(errs) = 0 AS passed, "
+    "vsum AS (SELECT *, len(errs) = 0 AS passed, "
     "CAST(len(errs) AS BIGINT) AS n_errors, CAST(n_warn AS BIGINT) AS n_warnings, "
-    "array_to_string(errs, ',') AS failed_checks, errs, requires_human_review FROM val)",
+    "array_to_string(errs, ',') AS failed_checks FROM val)",
+    # attempt by attempt: the loop goes on while no provider has failed and nothing has passed
+    "loop AS (SELECT *, sum(CAST(provider_failed AS INTEGER)) OVER (PARTITION BY claim_id, persona ORDER BY attempt) AS n_failed FROM vsum)",
+    "won AS (SELECT claim_id, persona, any_value(requires_human_review) AS requires_human_review, any_value(k) AS k, "
+    f"min(attempt) FILTER (passed AND n_failed = 0 AND attempt <= {C.MAX_RETRIES_ON_FAILURE + 1}) AS attempt_used FROM loop GROUP BY claim_id, persona)",
 )
 
 
@@ -233,12 +239,10 @@ def d18_validation_summary(spark, sf_dir):
 
 
 @query("d14_attempt_resolution", with_ctes(*RESP_CTES)(
-    "SELECT e.claim_id, e.persona, f.attempt_used IS NULL AS used_template_fallback, "
-    "coalesce(f.attempt_used > 1, e.attempts > 1) AS retried, f.attempt_used FROM "
-    "(SELECT claim_id, persona, max(attempt) AS attempts FROM vsum GROUP BY ALL) e LEFT JOIN "
-    "(SELECT claim_id, persona, min(attempt) AS attempt_used FROM vsum WHERE passed AND NOT provider_failed GROUP BY ALL) f "
-    "ON f.claim_id = e.claim_id AND f.persona = e.persona"))
+    f"SELECT claim_id, persona, attempt_used IS NULL AS used_template_fallback, coalesce(attempt_used > 1, {C.MAX_RETRIES_ON_FAILURE} > 0) AS retried, "
+    "attempt_used FROM won"))
 def d14_attempt_resolution(spark, sf_dir):
+    """First passing attempt before any provider failure, else the template."""
     return EX.resolve_attempts(validated(spark, sf_dir), ["claim_id", "persona"])
 
 
@@ -255,9 +259,7 @@ def _fallback_sql():
 
 
 @query("d15_fallback_explanations", with_ctes(*RESP_CTES)(
-    f"SELECT claim_id, persona, {_fallback_sql()} AS content FROM (SELECT claim_id, persona, "
-    "bool_and(NOT passed OR provider_failed) AS no_pass, any_value(requires_human_review) AS requires_human_review "
-    "FROM vsum GROUP BY claim_id, persona) WHERE no_pass"))
+    f"SELECT claim_id, persona, {_fallback_sql()} AS content FROM won WHERE attempt_used IS NULL"))
 def d15_fallback_explanations(spark, sf_dir):
     """The template content for every response pair that ends on the template."""
     res = EX.resolve_attempts(validated(spark, sf_dir), ["claim_id", "persona"], carry=("requires_human_review",))

@@ -33,12 +33,11 @@ def test_validator_catches_each_rejection(spark):
          "customer_leakage"),
         ("adjuster", '```json\n{"summary": "ok", "key_factors": ["a"], "risk_assessment": "r"}\n```', False, "schema"),
         ("auditor", "nonsense", False, "json_parse"),
-        ("customer", '{"summary": "Someone will review your claim.", "key_factors": ["a"], "next_steps": ["b"]}',
+        ("customer", '{"summary": "An expert will assess it soon.", "key_factors": ["a"], "next_steps": ["b"]}',
          False, "sentiment_consistency"),
     ]
-    df = spark.createDataFrame([(p, t, r, False, [100.0]) for p, t, r, _ in cases],
-                               "persona string, response string, requires_human_review boolean, is_declined boolean, "
-                               "context_numbers array<double>")
+    df = spark.createDataFrame([(p, t, r, False, '{"rrp": 100.0}') for p, t, r, _ in cases],
+                               "persona string, response string, requires_human_review boolean, is_declined boolean, context string")
     got = [r.failed_checks for r in EX.summary(EX.validate(df)).collect()]
     assert [c for *_, c in cases] == got
 
