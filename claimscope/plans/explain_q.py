@@ -147,7 +147,11 @@ def responses(spark, sf_dir):
     """One generated response per claim, persona and attempt (two attempts), with the context its writer was shown."""
     d = contexts(decisions(spark, sf_dir))
     d = d.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in PERSONAS])))
-    d = d.withColumn("context", DE.context_json(F.col("persona")))
+    return answers(d.withColumn("context", DE.context_json(F.col("persona"))))
+
+
+def answers(d):
+    """Two answers to each context (claim, persona), with the facts of their calls."""
     r = d.select("claim_id", "k", "persona", "requires_human_review", "is_declined", "context", "rrp_eur", "fee_eur",
                  F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
     r = r.withColumn("response", F.expr(response_sql().replace("chr(", "char(")))

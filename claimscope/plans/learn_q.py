@@ -67,7 +67,7 @@ def shap_tables(spark, sf_dir):
 def x9_tree_shap(spark, sf_dir):
     """Per-claim, per-feature exact TreeSHAP contributions with direction."""
     _, m, feats, wide = shap_tables(spark, sf_dir)
-    return AT.long_contributions(wide, m, feats)
+    return AT.long_contributions(wide, feats)
 
 
 @query("x11_shap_additivity")
@@ -84,14 +84,14 @@ def x11_shap_additivity(spark, sf_dir):
 @query("a25_global_importance")
 def a25_global_importance(spark, sf_dir):
     _, m, feats, wide = shap_tables(spark, sf_dir)
-    return AT.global_importance(AT.long_contributions(wide, m, feats))
+    return AT.global_importance(AT.long_contributions(wide, feats))
 
 
 @query("w1_w2_d6_persona_factors")
 def w1_w2_d6_persona_factors(spark, sf_dir):
     """W1 top-n (technical personas), W2 3 up / 2 down (customer), labelled (J2) and projected."""
     _, m, feats, wide = shap_tables(spark, sf_dir)
-    contrib = AT.with_labels(AT.long_contributions(wide, m, feats), AT.label_table(spark))
+    contrib = AT.with_labels(AT.long_contributions(wide, feats), AT.label_table(spark))
     outs = []
     for p, cfg in C.PERSONAS.items():
         if cfg["show_shap_values"]:
@@ -198,13 +198,14 @@ SEARCH_FIXED = {"maxIter": 10}
 def search_study(spark, sf_dir, family: str = "logistic_regression", n_trials: int = SE.N_TRIALS):
     """The study of one family over this input; kept in the checkpoint folder, so a second call finds its trials there."""
     m, feats = fold_matrix(spark, sf_dir)
-    content = m.agg(F.sum(F.xxhash64("claim_id", C.TARGET, "fold", *feats).cast("decimal(38,0)"))).first()[0]
-    return SE.search(m, family, feats, f"{ensure_checkpoint_dir(spark).rstrip('/')}/study-{family}-{hash_text(f'{content}|{feats}')}", n_trials,
+    return SE.search(m, family, feats, f"{ensure_checkpoint_dir(spark).rstrip('/')}/study-{family}-{content_key(m, feats)}", n_trials,
                      parallelism=max(LN.FIT_THREADS, spark.sparkContext.defaultParallelism // 2), fixed=SEARCH_FIXED)
 
 
-def hash_text(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+def content_key(m, feats) -> str:
+    """Names the content of a fold matrix (any row order)."""
+    content = m.agg(F.sum(F.xxhash64("claim_id", C.TARGET, "fold", *feats).cast("decimal(38,0)"))).first()[0]
+    return hashlib.sha256(f"{content}|{feats}".encode()).hexdigest()[:16]
 
 
 @query("x7_search_trials")
