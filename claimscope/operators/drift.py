@@ -8,13 +8,16 @@ the small per-feature spec plus one grouped count. The spec table has one row pe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimscope import config as C
+from claimscope.functions.format import general
 from claimscope.operators.evaluate import rnd
 from claimscope.operators.quantiles import exact_quantiles, linspace_quantiles
 
+
 def to_long(df: DataFrame, features) -> DataFrame:
     """(feature, value) with value coerced to double; nulls kept (they count in the floor)."""
     cols = list(features)
@@ -139,7 +142,34 @@ def triage(summary_by_batch: DataFrame, score_feature: str = C.SCORE_FEATURE) ->
     return summary_by_batch.withColumn("action", action)
 
 
+def bin_labels(spec: DataFrame) -> DataFrame:
+    """(feature, bin, label): ``=value`` for a categorical bin, ``(low, high]`` for a numeric one."""
+    numeric = F.concat(F.lit("("), general(F.col("lo")), F.lit(", "), general(F.col("hi")), F.lit("]"))
+    return spec.select("feature", "bin", F.when(F.col("kind") == "categorical", F.concat(F.lit("="), general(F.col("value"))))
+                       .otherwise(numeric).alias("label"))
+
+
 def version_check(reference_meta: DataFrame, serving_version: str) -> DataFrame:
     """M9: the frozen reference must carry the serving model's version."""
     return reference_meta.select("model_version", F.lit(serving_version).alias("serving_version"),
                                  (F.col("model_version") == F.lit(serving_version)).alias("matches"))
+
+
+def save_reference(spec: DataFrame, path: str, model_version: str) -> None:
+    """SNK3/M7: freeze a reference beside the model version it belongs to. A version's reference is written once; a second
+    attempt is an error, since reports already made refer to it."""
+    spec.withColumn("model_version", F.lit(str(model_version))).write.mode("error").parquet(f"{path}/version={model_version}/reference")
+
+
+def load_reference(spark: SparkSession, path: str, serving_version: str) -> DataFrame:
+    """The reference of the serving version; ValueError if there is none or if it was made for another version."""
+    try:
+        spec = spark.read.parquet(f"{path}/version={serving_version}/reference")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"no drift reference for version {serving_version} in {path}") from None
+    other = version_check(spec.select("model_version").distinct(), str(serving_version)).where("not matches").first()
+    if other is not None:
+        raise ValueError(f"the drift reference belongs to version {other.model_version}, not to {serving_version}")
+    return spec.drop("model_version")

@@ -12,31 +12,53 @@ from claimscope.sources.claims import claims_sql, raw_claims
 from claimscope.sources.tables import read_table
 from claimscope.streaming import jobs as J
 
-REPLAY_LIMITS = {"/api/v1/predict": 5, "/api/v1/explain": 2}  # smaller limits so rejections occur
+REPLAY_LIMITS = C.THROTTLE_LIMITS
+_DAY_US = 86_400_000_000
 REQUEST_EXPRS = [
-    ("client", "'c' || CAST(user_id % 20 AS STRING)"),
+    ("client", "CASE WHEN event_id % 2 = 0 THEN 'c_hot' ELSE 'c' || CAST(user_id AS STRING) END"),
     ("path", "CASE WHEN event_type IN ('view', 'click') THEN '/api/v1/predict' "
              "WHEN event_type IN ('signup', 'purchase') THEN '/api/v1/explain' ELSE '/api/v1/health' END"),
     ("request_id", "event_id"),
+    # every day of events as 40 seconds of requests, then a pause of 80
+    ("ts", f"CAST((us - us % {_DAY_US}) / {_DAY_US} - first_day AS DOUBLE) * 120 + CAST(us % {_DAY_US} AS DOUBLE) / {_DAY_US} * 40"),
 ]
 
 
 def requests(spark, sf_dir):
-    """Events replayed 1000x faster as API requests (seconds since the first event / 1000)."""
+    """Events as API requests, in seconds; one client sends half of them."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
-    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
-    first = ev.select(F.min(F.unix_micros("ts"))).scalar()
-    return ev.selectExpr(*[f"{e} AS {n}" for n, e in REQUEST_EXPRS], "ts AS event_ts").withColumn(
-        "ts", (F.unix_micros("event_ts") - first).cast("double") / F.lit(1e9)).drop("event_ts")
-
-
-@query("t6_request_throttle")
+    ev = ev.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    first = ev.select(F.min(F.expr(f"us div {_DAY_US}"))).scalar()
+    ev = ev.withColumn("first_day", first)
+    return ev.selectExpr(*[f"{e.replace(f'(us - us % {_DAY_US}) / {_DAY_US}', f'us div {_DAY_US}')} AS {n}" for n, e in REQUEST_EXPRS])
+
+
+_LIMIT = "CASE path " + " ".join(f"WHEN '{p}' THEN {n}" for p, n in REPLAY_LIMITS.items()) + " END"
+_SPAN = C.THROTTLE_WINDOW_S
+# request by request: the accepted times of the last 60 seconds are carried along
+_THROTTLE_SQL = f"""WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS us FROM events),
+fd AS (SELECT min(us // {_DAY_US}) AS first_day FROM ev),
+req AS (SELECT {", ".join(f"{e.replace(f'(us - us % {_DAY_US}) / {_DAY_US}', f'us // {_DAY_US}')} AS {n}" for n, e in REQUEST_EXPRS)} FROM ev, fd),
+num AS (SELECT *, {_LIMIT} AS lim, row_number() OVER (PARTITION BY client, path ORDER BY ts, request_id) AS rn FROM req),
+st AS (
+  SELECT client, path, ts, request_id, rn, lim, [ts] AS win, true AS allowed, 0 AS retry_after, lim - 1 AS remaining FROM num WHERE rn = 1 AND lim IS NOT NULL
+  UNION ALL
+  SELECT client, path, ts, request_id, rn, lim, CASE WHEN len(w) >= lim THEN w ELSE list_append(w, ts) END, len(w) < lim,
+    CASE WHEN len(w) >= lim THEN greatest(CAST(trunc(61.0 - (ts - w[1])) AS INTEGER), 1) ELSE 0 END,
+    CASE WHEN len(w) >= lim THEN 0 ELSE lim - len(w) - 1 END
+  FROM (SELECT n.*, list_filter(s.win, lambda x: n.ts - x <= {_SPAN}) AS w FROM st s JOIN num n ON n.client = s.client AND n.path = s.path AND n.rn = s.rn + 1)),
+decided AS (SELECT client, path, ts, request_id, allowed, CAST(retry_after AS INTEGER) AS retry_after, CAST(remaining AS INTEGER) AS remaining FROM st
+  UNION ALL SELECT client, path, ts, request_id, true, 0, CAST(NULL AS INTEGER) FROM num WHERE lim IS NULL)
+"""
+
+
+@query("t6_request_throttle", _THROTTLE_SQL + "SELECT * FROM decided")
 def t6_request_throttle(spark, sf_dir):
-    """T6 batch twin: exact sliding-window throttle decisions per (client, path)."""
+    """T6 batch twin: exact sliding-window throttle decisions per (client, path), session by session."""
     return J.throttle_batch(requests(spark, sf_dir), REPLAY_LIMITS)
 
 
-@query("t6_throttle_summary")
+@query("t6_throttle_summary", _THROTTLE_SQL + "SELECT path, count(*) AS n, count_if(NOT allowed) AS rejected FROM decided GROUP BY path")
 def t6_throttle_summary(spark, sf_dir):
     out = J.throttle_batch(requests(spark, sf_dir), REPLAY_LIMITS)
     return out.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("allowed")).alias("rejected"))
@@ -69,7 +91,8 @@ def p13_p15_contract_quarantine(spark, sf_dir):
 KNOWN = C.REQUEST_FIELDS
 
 
-@query("p14_unknown_fields")
+@query("p14_unknown_fields", with_ctes(claims_sql(with_text=False))(
+    "SELECT claim_id, ['customer_tier'] AS unknown_fields FROM claims WHERE claim_key % 50 = 0"))
 def p14_unknown_fields(spark, sf_dir):
     """Requests (JSON) carrying keys outside the contract are rejected with those keys."""
     raw = raw_claims(spark, sf_dir)

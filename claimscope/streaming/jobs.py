@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -36,6 +36,53 @@ def ingest_ledger(spark: SparkSession, source_dir: str, sink_dir: str, quarantin
             .trigger(availableNow=True).start())
 
 
+# ------------------------------------------------------------------ SRC2 claims as JSON lines
+
+CORRUPT = "__corrupt"
+
+
+def json_claims(lines: DataFrame, schema: T.StructType, value_col: str = "value") -> DataFrame:
+    """SRC2: JSON lines -> the typed columns of ``schema`` plus ``outcome`` and ``rejected_fields``; batch or stream.
+
+    The key set is closed. ``outcome`` is the first that holds: ``unparsable`` (no JSON object), ``unknown_field`` (keys outside the
+    schema, named), ``wrong_type`` (a value its column cannot hold), ``contract`` (rules of ``contract_violations``, named),
+    ``accepted``. Blank lines are skipped.
+    """
+    names = [f.name for f in schema.fields]
+    reader = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = lines.select(F.col(value_col).alias("__line")).where(F.trim("__line") != "")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("__line")).startswith("OBJECT"), F.lit(False))
+    rows = rows.withColumns({"__object": is_object, "__r": F.from_json("__line", reader, {"columnNameOfCorruptRecord": CORRUPT})})
+    rows = rows.withColumn("__unknown", F.when(F.col("__object"), F.array_except(F.json_object_keys("__line"), F.array(*[F.lit(n) for n in names]))))
+    rows = rows.select("__object", "__unknown", "__r.*")
+    broken = contract_violations(rows)
+    rows = rows.withColumn("rejected_fields", F.when(~F.col("__object") | F.col(CORRUPT).isNotNull(), F.array().cast("array<string>"))
+                           .when(F.size("__unknown") > 0, F.col("__unknown")).otherwise(broken))
+    outcome = (F.when(~F.col("__object"), "unparsable").when(F.size("__unknown") > 0, "unknown_field")
+               .when(F.col(CORRUPT).isNotNull(), "wrong_type").when(F.size("rejected_fields") > 0, "contract").otherwise("accepted"))
+    rows = rows.withColumn("outcome", outcome)
+    return rows.withColumn("rejected_fields", F.when(F.col("outcome") == "unknown_field", F.col("__unknown")).otherwise(F.col("rejected_fields"))).drop(
+        "__object", "__unknown", CORRUPT)
+
+
+def ingest_claims(spark: SparkSession, source_dir: str, schema: T.StructType, accepted_dir: str, quarantine_dir: str, checkpoint_dir: str):
+    """SRC2 + T1 as a stream: every line of a micro-batch goes to one of two sinks in the same run.
+
+    A batch writes (over) its own folders, so a batch that is run again after a failure leaves no second copy. The quarantine
+    names outcome and fields and holds no submitted value but the claim id (P15).
+    """
+    lines = spark.readStream.format("text").load(source_dir)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = json_claims(batch, schema)
+        ok = F.col("outcome") == "accepted"
+        rows.where(ok).drop("outcome", "rejected_fields").write.mode("overwrite").parquet(f"{accepted_dir}/batch={batch_id}")
+        rows.where(~ok).select("claim_id", "outcome", "rejected_fields").write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
+
+    return (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True).start())
+
+
 # ------------------------------------------------------------------ T2/T3 windowed health
 
 def windowed_health(records: DataFrame, window: str = "1 day", slide: str | None = None,
@@ -59,6 +106,21 @@ def threshold_alerts(health: DataFrame) -> DataFrame:
                         | (F.col("template_fallback_rate") >= C.TEMPLATE_FALLBACK_ALARM))
 
 
+def health_stream(records: DataFrame, health_dir: str, alerts_dir: str, checkpoint_dir: str, window: str = "30 days",
+                  slide: str = "1 day", watermark: str = "1 hour"):
+    """T2 + T3: overlapping event-time windows, written once each when the watermark has passed their end, and the alerts among them.
+
+    State holds one row per open window (window / slide of them), whatever the number of calls. A call whose window is closed no
+    longer counts in it. Batches write (over) their own folders.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{health_dir}/batch={batch_id}")
+        threshold_alerts(batch).write.mode("overwrite").parquet(f"{alerts_dir}/batch={batch_id}")
+
+    return (windowed_health(records, window, slide, watermark).writeStream.outputMode("append").foreachBatch(write)
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+
+
 # ------------------------------------------------------------------ T8 late and duplicate events
 
 def deduplicate_calls(records: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -107,17 +169,31 @@ def route_stream(claims: DataFrame, score_fn) -> DataFrame:
 
 # ------------------------------------------------------------------ T5 drift per batch
 
-def drift_per_batch(spec: DataFrame, features, report_dir: str, min_rows: int = C.PSI_MIN_ROWS):
-    """T5: a foreachBatch function scoring each micro-batch against the frozen reference."""
+def drift_per_batch(spec: DataFrame, features, report_dir: str, min_rows: int = C.PSI_MIN_ROWS, tag: str | None = None):
+    """T5: a foreachBatch function scoring each micro-batch against the frozen reference.
+
+    A batch writes (over) its own folders: a batch run again leaves one report. Under ``min_rows`` rows it leaves a summary with the
+    reason and an empty report. ``tag`` names a column whose least value in the batch is carried along.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        n = batch.count()
+        n, first = batch.agg(F.count(F.lit(1)), F.min(tag) if tag else F.lit(None).cast("string")).first()
+        mark = {tag: F.lit(first)} if tag else {}
         rep = DR.drift_report(spec, batch, features, min_rows=min_rows)
-        summ = DR.drift_summary(rep, n, min_rows=min_rows)
-        rep.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{report_dir}/features")
-        summ.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{report_dir}/summary")
+        rep.join(F.broadcast(DR.bin_labels(spec)).withColumnRenamed("bin", "largest_shift_bin"), ["feature", "largest_shift_bin"], "left").withColumns(
+            mark).write.mode("overwrite").parquet(f"{report_dir}/features/batch={batch_id}")
+        DR.drift_summary(rep, n, min_rows=min_rows).withColumns(mark).write.mode("overwrite").parquet(f"{report_dir}/summary/batch={batch_id}")
     return run
 
 
+def drift_stream(scored: DataFrame, reference_dir: str, serving_version: str, features, report_dir: str, checkpoint_dir: str,
+                 min_rows: int = C.PSI_MIN_ROWS, tag: str | None = None):
+    """T5 + M9: the stream of scored claims against the reference of the serving version; refused before it starts if that
+    reference is not there or belongs to another version."""
+    spec = DR.load_reference(scored.sparkSession, reference_dir, serving_version)
+    return (scored.writeStream.foreachBatch(drift_per_batch(spec, features, report_dir, min_rows, tag))
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+
+
 # ------------------------------------------------------------------ T6 request throttle
 
 THROTTLE_OUT = ("client string, path string, ts double, request_id long, allowed boolean, "
@@ -133,41 +209,76 @@ def _decide_one(window: deque, now: float, limit: int, span: float = C.THROTTLE_
     return True, 0, max(limit - len(window), 0)
 
 
+#: Seconds of a time bucket in ``throttle_sessions``; any length is right, it only sets how a hot key is cut up.
+SESSION_BUCKET_S = 600.0
+
+
+def throttle_sessions(requests: DataFrame, span: float = C.THROTTLE_WINDOW_S, bucket: float = SESSION_BUCKET_S) -> DataFrame:
+    """Adds ``session``: the time of the last request of the key that came more than ``span`` after the one before it.
+
+    After such a gap all accepted requests are out of the window, so sessions are decided by themselves, and those of a hot key
+    in different tasks. Gaps are found per (key, time bucket); what a bucket needs of the earlier ones (its key's last request and
+    last gap) comes from a table with one row per key and bucket.
+    """
+    key = ["client", "path"]
+    rows = requests.withColumn("__b", F.floor(F.col("ts") / bucket))
+    inside = Window.partitionBy(*key, "__b").orderBy("ts", "request_id")
+    rows = rows.withColumn("__prev", F.lag("ts").over(inside))
+    gap = F.when(F.col("ts") - F.col("__prev") > span, F.col("ts"))
+    ends = rows.groupBy(*key, "__b").agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"), F.max(gap).alias("__gap"))
+    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__last_before", F.max("__last").over(before))
+    opens = F.when(F.col("__last_before").isNull() | (F.col("__first") - F.col("__last_before") > span), F.col("__first"))
+    ends = ends.withColumn("__opens", opens).withColumn("__start", F.greatest("__gap", "__opens"))
+    ends = ends.withColumn("__enters", F.coalesce("__opens", F.max("__start").over(before)))
+    rows = rows.join(ends.select(*key, "__b", "__enters"), [*key, "__b"])
+    running = F.max(F.when(F.col("ts") - F.col("__prev") > span, F.col("ts"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("session", F.coalesce(running, F.col("__enters"))).drop("__b", "__prev", "__enters")
+
+
 def throttle_batch(requests: DataFrame, limits: dict = C.THROTTLE_LIMITS) -> DataFrame:
     """T6 batch twin: per (client, path) in time order, exact sliding-60 s decisions.
 
-    Rows are hash-partitioned by key and sorted by time inside each partition; one pass
-    keeps at most ``limit`` accepted timestamps per key (memory bounded by keys x limit).
-    A key's requests are inherently sequential, so one key is one task's stream.
+    The unit of work is a session (``throttle_sessions``), not a client: tasks read sessions sorted by time and keep the at most
+    ``limit`` accepted times of the one they are in. A stretch of requests without a pause of 60 s is decided one after the other by nature.
     """
     lim = dict(limits)
 
     def run(batches):
-        state: dict = {}
+        current, win = None, deque()
         for pdf in batches:
             out = []
-            for client, path, ts, rid in zip(pdf["client"], pdf["path"], pdf["ts"], pdf["request_id"]):
+            for client, path, session, ts, rid in zip(pdf["client"], pdf["path"], pdf["session"], pdf["ts"], pdf["request_id"]):
                 limit = lim.get(path)
                 if limit is None:
                     out.append((client, path, ts, rid, True, 0, None))
                     continue
-                win = state.setdefault((client, path), deque())
+                if current != (client, path, session):
+                    current, win = (client, path, session), deque()
                 ok, retry, rem = _decide_one(win, float(ts), limit)
                 out.append((client, path, ts, rid, ok, retry, rem))
             yield pd.DataFrame(out, columns=["client", "path", "ts", "request_id", "allowed", "retry_after",
                                              "remaining"]).astype({"remaining": "Int64"})
 
-    ordered = requests.repartition("client", "path").sortWithinPartitions("client", "path", "ts", "request_id")
-    return ordered.mapInPandas(run, THROTTLE_OUT)
+    ordered = throttle_sessions(requests).repartition("client", "path", "session").sortWithinPartitions(
+        "client", "path", "session", "ts", "request_id")
+    return ordered.select("client", "path", "session", "ts", "request_id").mapInPandas(run, THROTTLE_OUT)
 
 
-def throttle_stream(requests: DataFrame, limits: dict = C.THROTTLE_LIMITS) -> DataFrame:
-    """T6 streaming: the accepted-timestamp list per key lives in state; time order per batch."""
+def throttle_stream(requests: DataFrame, limits: dict = C.THROTTLE_LIMITS, watermark: str | None = None) -> DataFrame:
+    """T6 streaming: the accepted times of a key live in state; time order per batch.
+
+    With ``watermark`` (and an ``event_time`` column) a key's state goes when the watermark passes its last accepted request by the
+    window's length: then it can no longer bear on a decision.
+    """
     lim = dict(limits)
     state_schema = "accepted array<double>"
 
     def fn(key, pdfs, state):
         client, path = key
+        if state.hasTimedOut:
+            state.remove()
+            return
         win = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(pdfs)).sort_values(["ts", "request_id"])
         limit = lim.get(path)
@@ -178,12 +289,16 @@ def throttle_stream(requests: DataFrame, limits: dict = C.THROTTLE_LIMITS) -> Da
                 continue
             ok, retry, rem = _decide_one(win, float(ts), limit)
             out.append((client, path, ts, rid, ok, retry, rem))
-        state.update((list(win),))
+        if limit is not None:
+            state.update((list(win),))
+            if watermark and win:
+                state.setTimeoutTimestamp(max(int((win[-1] + C.THROTTLE_WINDOW_S) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["client", "path", "ts", "request_id", "allowed", "retry_after",
                                          "remaining"]).astype({"remaining": "Int64"})
 
-    return requests.groupBy("client", "path").applyInPandasWithState(
-        fn, THROTTLE_OUT, state_schema, "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withWatermark("event_time", watermark) if watermark else requests
+    return timed.groupBy("client", "path").applyInPandasWithState(
+        fn, THROTTLE_OUT, state_schema, "append", GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout)
 
 
 REQUEST_SCHEMA = T.StructType([T.StructField("client", T.StringType()), T.StructField("path", T.StringType()),

@@ -49,14 +49,15 @@ def test_shap_additivity_on_smoke_data(spark, sf):
 
 
 def test_throttle_stream_equals_batch(spark, sf):
-    from claimscope.plans.stream_q import REPLAY_LIMITS, requests
+    from claimscope.plans.stream_q import requests
     from claimscope.streaming import jobs as J
+    limits = {"/api/v1/predict": 5, "/api/v1/explain": 2}
     req = requests(spark, sf)
     src = tempfile.mkdtemp(prefix="throttle-src-")
     req.write.mode("overwrite").parquet(src)
-    batch = J.throttle_batch(req, REPLAY_LIMITS).select("request_id", "allowed", "retry_after").collect()
+    batch = J.throttle_batch(req, limits).select("request_id", "allowed", "retry_after").collect()
     stream = spark.readStream.schema(J.REQUEST_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(src)
-    q = (J.throttle_stream(stream, REPLAY_LIMITS).writeStream.format("memory").queryName("thr")
+    q = (J.throttle_stream(stream, limits).writeStream.format("memory").queryName("thr")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="thr-ckpt-")).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
