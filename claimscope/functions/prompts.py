@@ -31,8 +31,10 @@ def fenced(text: Column) -> Column:
 
 
 def _text(name: str, dtype: T.DataType) -> Column:
-    """A variable as text: arrays joined by commas, blank as null."""
+    """A variable as text: arrays joined by commas, numbers without exponents, blank as null."""
     c = F.array_join(F.col(name), ", ") if isinstance(dtype, T.ArrayType) else F.col(name).cast("string")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):      # 0.0008, not 8.0E-4
+        c = F.when(c.contains("E"), F.regexp_replace(F.col(name).cast("decimal(38,12)").cast("string"), r"\.?0+$", "")).otherwise(c)
     return F.when(F.trim(c) != "", c)
 
 
