@@ -3,33 +3,78 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from claimscope.llm.similarity import GRAMS, set_rows, similar_sets
 from claimscope.session import ensure_checkpoint_dir
 
 #: A join side is broadcast only if its measured size stays below this.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES (one longer row stands alone) for the jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(small: DataFrame, row_bytes: int) -> DataFrame:
-    """``small`` (already stored) marked for broadcast if its rows fit BROADCAST_BYTES, else as it is."""
-    rows = small.count()
-    return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
+def sized(small: DataFrame) -> DataFrame:
+    """``small`` (already stored) marked for broadcast if its measured content fits BROADCAST_BYTES, else as it is.
+
+    Fixed-width columns count by their width, strings, binaries and arrays by what they hold, and every row some overhead.
+    """
+    def width(name: str, kind: T.DataType) -> Column:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            return F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) + F.greatest(F.size(c), F.lit(0)) * 16
+        if isinstance(kind, T.ArrayType):
+            each = 16 + 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 16
+            return F.greatest(F.size(c), F.lit(0)) * each
+        return F.lit(16)
+
+    total = sum((width(f.name, f.dataType) for f in small.schema.fields), F.lit(32)).cast("long")
+    size = small.agg(F.sum(total)).first()[0] or 0
+    return F.broadcast(small) if size <= BROADCAST_BYTES else small
+
+
+def hash_sample(rows: DataFrame, n: int, on: str) -> DataFrame:
+    """At most ``n`` rows of ``rows``, with different values of ``on``: those of the least hashes.
+
+    The bound is found on hashes alone (equal values once), so no task and no driver holds more than ``n`` of the values.
+    """
+    hashed = rows.withColumn("__hash", F.xxhash64(on))
+    bound = hashed.select("__hash").distinct().orderBy("__hash").limit(n).agg(F.max("__hash")).first()[0]
+    if bound is None:
+        return rows.limit(0)
+    return hashed.where(F.col("__hash") <= bound).dropDuplicates(["__hash"]).drop("__hash")
 
 
 def digest(column) -> F.Column:
@@ -76,13 +121,14 @@ def central_pairs(members: DataFrame) -> DataFrame:
         F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
 
 
-def prefix_pairs(units: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of units of different components that can reach ``similarity``; none that can is left out.
+def prefix_side(units: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(gram, key, comp, odds): the shingles by which units of different components can reach ``similarity``.
 
     ``units`` (key, comp), ``grams`` (key, gram, weight). Order every unit's shingles from the rarest
     on. Before the first one a pair shares, each side has a mass x, y (of 1) that the other lacks, and its
-    (probability) Jaccard index is at most 1 / (1 + x / (1 - x) + y / (1 - y)). So only shingles with
-    little mass before them are joined, and only where the two sums allow the similarity.
+    (probability) Jaccard index is at most 1 / (1 + x / (1 - x) + y / (1 - y)). So two units can only be similar if
+    they share a shingle before which little mass stands on both sides: odds x / (1 - x) that sum to
+    1 / similarity - 1 at most.
     """
     slack = 1 / similarity - 1
     grams = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
@@ -91,26 +137,59 @@ def prefix_pairs(units: DataFrame, grams: DataFrame, similarity: float) -> DataF
     ranked = grams.select("key", "gram", "df", F.coalesce(F.sum("weight").over(head), F.lit(0)).alias("x"), F.sum("weight").over(by_unit).alias("all"))
     ranked = ranked.select("key", "gram", "df", (F.col("x") / (F.col("all") - F.col("x"))).alias("odds")).where(
         (F.col("df") > 1) & (F.col("odds") <= slack + 1e-9))
-    side = stored(ranked.join(units, "key").select("gram", "key", "comp", "odds"))
+    return ranked.join(units, "key").select("gram", "key", "comp", "odds")
+
+
+def least_pairs(side: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every unit of a shingle of ``side`` with that shingle's unit of least odds, where the two can be similar.
+
+    If two units of the shingle can be similar, each can also be similar to this one, so where both then are,
+    the two are in one component without having been compared.
+    """
+    least = side.groupBy("gram").agg(F.min(F.struct("odds", "key", "comp")).alias("h")).select("gram", "h.*").toDF("gram", "odds_h", "hub", "comp_h")
+    near = side.join(least, "gram").where((F.col("comp") != F.col("comp_h")) & (F.col("odds") + F.col("odds_h") <= 1 / similarity - 1 + 1e-9))
+    return near.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
+
+
+def prefix_pairs(side: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of units of different components that can reach ``similarity`` by ``side``; none that can is left out."""
     other = side.select("gram", F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("odds").alias("odds_b"))
     return side.join(other, "gram").where((F.col("key") > F.col("b")) & (F.col("comp") != F.col("comp_b"))
-                                          & (F.col("odds") + F.col("odds_b") <= slack + 1e-9)).select(F.col("key").alias("a"), "b").distinct()
+                                          & (F.col("odds") + F.col("odds_b") <= 1 / similarity - 1 + 1e-9)).select(F.col("key").alias("a"), "b").distinct()
+
+
+def relabelled(side: DataFrame, comp: DataFrame) -> DataFrame:
+    """``side`` with the components of ``comp``, without shingles whose units are in one by now."""
+    now = side.drop("comp").join(comp, "key", "left").select("gram", "key", F.coalesce("comp", "key").alias("comp"), "odds")
+    several = now.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
+    return now.join(several, "gram")
 
 
-def link_near(bands: DataFrame, verified: Callable[[DataFrame], DataFrame], grams: Callable[[DataFrame], DataFrame],
-              similarity: float) -> tuple[DataFrame, DataFrame]:
+#: Rounds in which the units of open shingles are compared with one unit each, before pairs are formed of what is left.
+LEAST_ROUNDS = 3
+
+
+def link_near(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
     """Verified links between units that share a band, and the components they form.
 
-    ``bands`` (key binary, band long), one row per unit and band (repeats allowed); ``verified``
-    takes candidate pairs (a, b), a > b, and returns those that hold; ``grams`` takes keys and returns
-    their shingles (key, gram, weight). No bucket is expanded into its pairs. First each unit is
+    ``bands`` (key binary, band long), one row per unit and band (repeats allowed); ``sets_of`` takes keys and
+    returns their shingles (key, grams, weights: ``similarity.SETS``), which are stored once and
+    serve every comparison. No bucket is expanded into its pairs. First each unit is
     paired with the hub of each of its buckets. A bucket whose units then lie in one component is
-    settled. The units of the others are compared by their rarest shingles (``prefix_pairs``), so
+    settled. The units of the others are compared by their rarest shingles (``prefix_side``): with the unit of
+    least odds of each shingle, round by round, and at last in pairs, so
     that no two colliding units of different components that can be similar stay uncompared.
     Returns (links (a, b), membership (key, comp)); the links span the components and are not all there are.
     """
     buckets = bands.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
     members = stored(bands.join(buckets.where("least <> most").select("band", "n"), "band").select("band", "key", "n").distinct())
+    sets = stored(sets_of(stored(members.select("key").distinct())))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        mine = lambda k: sets.select(F.col("key").alias(k), F.col("grams").alias(f"grams_{k}"), F.col("weights").alias(f"weights_{k}"))
+        both = pairs.join(mine("a"), "a").join(mine("b"), "b").select("a", "b", "grams_a", "weights_a", "grams_b", "weights_b")
+        return both.mapInArrow(similar_sets(similarity), "a binary, b binary")
+
     tried = stored(central_pairs(members))
     links = stored(verified(tried))
     comp = stored(components(links))
@@ -120,10 +199,16 @@ def link_near(bands: DataFrame, verified: Callable[[DataFrame], DataFrame], gram
     rest = stored(labelled.join(open_, "band").select("key", "comp").distinct())
     if rest.isEmpty():
         return links, comp
-    pairs = prefix_pairs(rest, stored(grams(rest.select("key"))), similarity)
-    more = stored(verified(stored(pairs.join(tried, ["a", "b"], "left_anti"))))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        stars = comp.where("key <> comp").select(F.col("key").alias("a"), F.col("comp").alias("b"))
-        comp = stored(components(stars.unionByName(more)))
+    grams = sets.join(rest.select("key"), "key").mapInArrow(set_rows, GRAMS)
+    side = stored(prefix_side(rest, stored(grams), similarity))
+    for step in range(LEAST_ROUNDS + 1):
+        pairs = least_pairs(side, similarity) if step < LEAST_ROUNDS else prefix_pairs(side, similarity)
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = stored(verified(pairs))
+        if not more.isEmpty():
+            links = stored(links.unionByName(more))
+            stars = comp.where("key <> comp").select(F.col("key").alias("a"), F.col("comp").alias("b"))
+            comp = stored(components(stars.unionByName(more)))
+            side = stored(relabelled(side, comp))
+        tried = stored(tried.unionByName(pairs))
     return links, comp

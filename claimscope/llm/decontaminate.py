@@ -74,7 +74,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, size: int, slop: int = 0) ->
                   .withColumn("wid", F.sha2(F.array_join("words", " "), 256)))
     vocabulary = stored(wins.select(F.explode("words").alias("term")).distinct())
     corpus = _tokens(docs).select(F.explode("w").alias("word")).select(_fold(F.col("word")).alias("term"))
-    counts = stored(corpus.join(sized(vocabulary, 64), "term").groupBy("term").agg(F.count(F.lit(1)).alias("cf")))
+    counts = stored(corpus.join(sized(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("cf")))
     terms = wins.select("wid", F.size("words").alias("n"), F.posexplode("words").alias("off", "term")).join(counts, "term")
     # a window with a word that no document has cannot occur; the others keep their two rarest places
     rare = terms.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("cf", "off", "term"))).alias("r"), F.first("n").alias("n"))
@@ -87,9 +87,9 @@ def _search(docs: DataFrame, benchmark: DataFrame, size: int, slop: int = 0) ->
     lookups = stored(plan.select(F.col("t1").alias("term"), F.lit(1).alias("lead")).unionByName(
         plan.where("t2 is not null").select(F.col("t2").alias("term"), F.lit(0).alias("lead"))).groupBy("term").agg(F.max("lead").alias("lead"))
         .unionByName(end))
-    index = stored(_postings(docs, sized(lookups, 64), near))
+    index = stored(_postings(docs, sized(lookups), near))
 
-    first = (index.where("lead = 1").join(sized(plan, 600), F.col("term") == F.col("t1"))
+    first = (index.where("lead = 1").join(sized(plan), F.col("term") == F.col("t1"))
              .select("wid", "n", "items", "words", "doc_id", "tag", "t2", "o1", "o2", "base",
                      F.transform("around", _fold).alias("around"),
                      (F.col("pos") - F.col("o1")).alias("start")).where("start >= 0"))
@@ -141,6 +141,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which any window of the benchmark occurs; all columns as they were."""
-    found = stored(matches(docs, benchmark).select(F.col("doc_id").alias("h_doc"), F.col("tag").alias("h_tag")).distinct())
-    return docs.join(sized(found, 32), docs.doc_id.eqNullSafe(F.col("h_doc")) & (F.xxhash64(docs.text) == F.col("h_tag")), "left_anti")
+    """``docs`` without the documents in which any window of the benchmark occurs; all columns as they were, whatever their names.
+
+    Rows without words, and all rows where the benchmark has none, stay; an empty table gives an empty one.
+    """
+    found = stored(matches(docs, benchmark).select("doc_id", "tag").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"))
+    side = sized(found)
+    return rows.join(side, rows["id"].eqNullSafe(side["doc_id"]) & (rows["of"] == side["tag"]), "left_anti").select("row.*")

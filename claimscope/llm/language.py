@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import stored
+from claimscope.llm.common import hash_sample, stored
 from claimscope.llm.textnum import strings
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -37,15 +37,26 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return row[inside], bucket[inside].astype(np.int64)
 
 
+def _labelled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n): trigrams of whole labelled texts."""
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for i, lang in enumerate(langs):
+            data = np.frombuffer((batch.column(1)[i].as_py() or "").lower().encode(), np.uint8)
+            bucket, n = np.unique(trigram_counts(data, np.array([0, len(data)]))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(bucket, pa.int64()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """(BUCKETS x languages) log-likelihoods, from ``sample`` labelled documents (least by hash of doc_id)."""
-    rows = docs.where(F.col("lang").isin(LANGUAGES)).select("lang", F.substring("text", 1, 4000).alias("text"), F.xxhash64("doc_id").alias("h"))
-    rows = rows.orderBy("h", "lang", "text").limit(sample).collect()
+    """(BUCKETS x languages) log-likelihoods, from ``sample`` labelled documents (least by hash of their text), read whole.
+
+    Their trigrams are counted in the tasks; the driver gets one number per language and bucket.
+    """
+    rows = hash_sample(docs.where(F.col("lang").isin(LANGUAGES)).select("lang", "text"), sample, "text")
+    found = rows.select("lang", "text").mapInArrow(_labelled_counts, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.full((BUCKETS, len(LANGUAGES)), 0.5)
-    for r in rows:
-        data = np.frombuffer((r.text or "").lower().encode(), np.uint8)
-        _, bucket = trigram_counts(data, np.array([0, len(data)]))
-        np.add.at(counts[:, LANGUAGES.index(r.lang)], bucket, 1)
+    for r in found.collect():
+        counts[r.bucket, LANGUAGES.index(r.lang)] += r.n
     return np.log(counts / counts.sum(0)).astype(np.float32)
 
 

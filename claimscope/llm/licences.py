@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.llm.common import hash_sample
+
 SAMPLE = 200
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.6, 0.7
 STEPS, RATE, DECAY = 300, 0.5, 1e-3
@@ -214,10 +216,10 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Unknown paragraphs: the first line of ``sample`` documents (least by hash), none of which names a licence."""
-    line = F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 400)
-    rows = docs.select(line.alias("p"), F.xxhash64("text").alias("h")).where(~F.col("p").rlike("(?i)licen|rights|permi|redistrib|copyright"))
-    return Model(sorted(r.p for r in rows.orderBy("h", "p").limit(sample).collect()))
+    """Unknown paragraphs: the first line, whole, of documents: ``sample`` different ones (least by hash), none of which names a licence."""
+    line = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    rows = docs.select(line.alias("p")).where(~F.col("p").rlike("(?i)licen|rights|permi|redistrib|copyright"))
+    return Model(sorted(r.p for r in hash_sample(rows, sample, "p").collect()))
 
 
 def scan(docs: DataFrame) -> DataFrame:

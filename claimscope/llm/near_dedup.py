@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import digest, link_near, sized, stored
-from claimscope.llm.textnum import CHUNK_BYTES, U, mix, row_chunks, shingles, strings, weighted_sets
+from claimscope.llm.similarity import SETS, shingle_sets
+from claimscope.llm.textnum import U, mix, row_chunks, shingles, strings, weighted_sets
 
 SIMILARITY = 0.8
 WORDS = 5
@@ -75,71 +76,6 @@ def _signatures(bands: int, per_band: int):
     return run
 
 
-def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two aligned weight vectors (absent: 0), each scaled to sum 1; 0 if either is empty."""
-    if not x.sum() or not y.sum():
-        return 0.0
-    both = (x > 0) & (y > 0)
-    if not both.any():
-        return 0.0
-    x, y = x / x.sum(), y / y.sum()
-    with np.errstate(divide="ignore"):
-        ratio = np.where(x > 0, y / np.where(x > 0, x, 1), np.inf)
-    order = np.argsort(ratio, kind="stable")
-    below, above = np.cumsum(x[order]), np.append(np.cumsum(y[order][::-1])[::-1], 0)
-    upto = np.searchsorted(ratio[order], ratio[both], "right")
-    return float((1 / (below[upto - 1] / x[both] + above[upto] / y[both])).sum())
-
-
-def same_shingles(least: float, weighted: bool = True):
-    """Keeps rows (a, b, text of a, text of b) of similarity ``least`` or more; unweighted: plain Jaccard."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            da, oa = strings(batch.column(2))
-            db, ob = strings(batch.column(3))
-            keep = np.zeros(batch.num_rows, bool)
-            for i, j in row_chunks(oa + ob, 2 * CHUNK_BYTES):
-                n = j - i
-                ra, va, _ = shingles(da[oa[i]: oa[j]], oa[i: j + 1] - oa[i], WORDS)
-                rb, vb, _ = shingles(db[ob[i]: ob[j]], ob[i: j + 1] - ob[i], WORDS)
-                ra, va, wa = weighted_sets(ra, va)
-                rb, vb, wb = weighted_sets(rb, vb)
-                if not weighted:
-                    wa, wb = np.ones_like(wa), np.ones_like(wb)
-                row, value = np.concatenate([ra, rb]), np.concatenate([va, vb])
-                x, y = np.concatenate([wa, 0 * wb]).astype(float), np.concatenate([0 * wa, wb]).astype(float)
-                order = np.lexsort((value, row))
-                row, value, x, y = row[order], value[order], x[order], y[order]
-                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))) if len(row) else np.zeros(0, int)
-                if len(new):
-                    row, x, y = row[new], np.add.reduceat(x, new), np.add.reduceat(y, new)
-                bounds = np.searchsorted(row, np.arange(n + 1))
-                for p in range(n):
-                    a, b = bounds[p], bounds[p + 1]
-                    if probability_jaccard(x[a:b], y[a:b]) >= least - 1e-12:
-                        keep[i + p] = True
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
-    return run
-
-
-def shingle_rows(weighted: bool = True):
-    """(key, gram, weight) of every distinct shingle of rows (key, text); unweighted: weight 1."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = strings(batch.column(1))
-            for i, j in row_chunks(offsets):
-                row, value, _ = shingles(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], WORDS)
-                row, value, weight = weighted_sets(row, value)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + i)), pa.array(value.view(np.int64)),
-                     pa.array((weight if weighted else np.ones_like(weight)).astype(np.int64))], ["key", "gram", "weight"])
-    return run
-
-
-GRAMS = "key binary, gram bigint, weight bigint"
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
                     per_band: int = ROWS) -> DataFrame:
     """One row per distinct text: (key, comp, rep, copies, class_id, n_links).
@@ -157,23 +93,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     signed = stored(texts.select("key", "text").mapInArrow(_signatures(bands, per_band), "key binary, bands array<bigint>"))
     exploded = signed.select("key", F.explode("bands").alias("band"))
 
-    def texts_of(keys: DataFrame) -> DataFrame:
-        need = stored(keys.join(copies, "key").select("key", "rep"))
-        side = sized(need.select(F.col("key").alias("k"), F.col("rep")), 80)
-        found = texts.join(side, (texts.key == F.col("k")) & texts.doc_id.eqNullSafe(F.col("rep")))
-        return found.select("key", "text").dropDuplicates(["key"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        found = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-        both = (pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-                .join(found.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-                .select("a", "b", "text_a", "text_b"))
-        return both.mapInArrow(same_shingles(similarity), "a binary, b binary")
-
-    def grams(keys: DataFrame) -> DataFrame:
-        return texts_of(keys).mapInArrow(shingle_rows(), GRAMS)
+    def sets_of(keys: DataFrame) -> DataFrame:
+        need = stored(keys.join(copies, "key").select(F.col("key").alias("k"), "rep"))
+        found = texts.join(sized(need), (texts.key == F.col("k")) & texts.doc_id.eqNullSafe(F.col("rep")))
+        return found.select("key", "text").dropDuplicates(["key"]).mapInArrow(shingle_sets(WORDS), SETS)
 
-    links, comp = link_near(exploded, verified, grams, similarity)
+    links, comp = link_near(exploded, sets_of, similarity)
     ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key")))
     degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     known = comp.join(copies, "key")
@@ -194,12 +119,12 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of its smallest doc_id (of equal doc_ids, the least text digest).
 
-    Classes are told apart by ``comp``; a class whose doc_ids are all null keeps the row of its least digest.
+    Classes are told apart by ``comp``; a class whose doc_ids are all null keeps the row of its least digest. All columns
+    come back as they were, whatever their names; an empty table gives an empty one.
     """
     first = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")  # a null doc_id only if the class has no other
     best = stored(near_duplicates(docs).groupBy("comp").agg(F.min(first).alias("at"))
-                  .select(F.col("at.rep").alias("_rep"), F.col("at.key").alias("_key")))
-    columns = docs.columns
-    keyed = docs.select(*columns, digest(F.col("text")).alias("_digest_of_text"))
-    kept = keyed.join(best, keyed._digest_of_text.eqNullSafe(F.col("_key")) & keyed.doc_id.eqNullSafe(F.col("_rep")))
-    return kept.dropDuplicates(["_digest_of_text"]).select(*[kept[c] for c in columns])
+                  .select(F.col("at.rep").alias("rep"), F.col("at.key").alias("key")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest(F.col("text")).alias("of"), F.col("doc_id").alias("id"))
+    kept = rows.join(best, rows["of"].eqNullSafe(best["key"]) & rows["id"].eqNullSafe(best["rep"]))
+    return kept.dropDuplicates(["of"]).select("row.*")

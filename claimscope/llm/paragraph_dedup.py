@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import link_near, sized, stored
-from claimscope.llm.near_dedup import GRAMS, SIMILARITY, WORDS, band_keys, same_shingles, shingle_rows
+from claimscope.llm.near_dedup import SIMILARITY, WORDS, band_keys
+from claimscope.llm.similarity import SETS, shingle_sets
 from claimscope.llm.textnum import ALNUM, LOWER, U, mix, prefix_sums, range_hash, row_chunks, shingles, strings, words
 
 BANDS, ROWS = 9, 3
@@ -99,21 +100,15 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         need = keys.join(firsts, "key")
         need = stored(need.select(F.col("at.doc_id").alias("d"), F.col("at.tag").alias("t"), F.struct("at.line", "at.n_lines", "key").alias("x"))
                       .groupBy("d", "t").agg(F.collect_list("x").alias("xs")))
-        found = texts.join(sized(need, 200), texts.doc_id.eqNullSafe(F.col("d")) & (texts.tag == F.col("t")))
+        found = texts.join(sized(need), texts.doc_id.eqNullSafe(F.col("d")) & (texts.tag == F.col("t")))
         found = found.select(F.split("text", "\n").alias("lines"), F.explode("xs").alias("x")).select(
             "x.key", F.array_join(F.slice("lines", F.col("x.line") + 1, F.col("x.n_lines")), "\n").alias("text"))
         return found.dropDuplicates(["key"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        found = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-        both = (pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-                .join(found.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"))
-        return both.mapInArrow(same_shingles(SIMILARITY, weighted=False), "a binary, b binary")
+    def sets_of(keys: DataFrame) -> DataFrame:
+        return texts_of(keys).mapInArrow(shingle_sets(WORDS, weighted=False), SETS)
 
-    def grams(keys: DataFrame) -> DataFrame:
-        return texts_of(keys).mapInArrow(shingle_rows(weighted=False), GRAMS)
-
-    _, comp = link_near(units.select("key", F.explode("bands").alias("band")), verified, grams, SIMILARITY)
+    _, comp = link_near(units.select("key", F.explode("bands").alias("band")), sets_of, SIMILARITY)
     known = firsts.join(comp, "key", "left").select("key", "at", "copies", F.coalesce("comp", "key").alias("comp"))
     classes = known.groupBy("comp").agg(F.min("at").alias("head"), F.sum("copies").alias("n")).where("n > 1")
     marked = known.join(classes, "comp").select("key", "comp", "head")

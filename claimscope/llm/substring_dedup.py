@@ -182,7 +182,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = contexts.select("at.*").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e", "a")).alias("xs")).select(
         F.col("doc_id").alias("d"), F.col("tag").alias("t"), "xs")
     need = stored(need)
-    texts = docs.join(sized(need, 400), docs.doc_id.eqNullSafe(F.col("d")) & (docs.tag == F.col("t"))).select("doc_id", "tag", "text", "xs")
+    texts = docs.join(sized(need), docs.doc_id.eqNullSafe(F.col("d")) & (docs.tag == F.col("t"))).select("doc_id", "tag", "text", "xs")
     parts = stored(texts.mapInArrow(_pieces, f"key binary, doc_id {doc_type}, tag bigint, s bigint, whole binary")
                    .groupBy("key", "doc_id", "tag", "s").agg(F.max(F.struct(F.length("whole").alias("n"), "whole")).alias("x"))
                    .select("key", "doc_id", "tag", "s", "x.whole"))

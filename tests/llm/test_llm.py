@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 
 from claimscope.llm import (chat_format, decontaminate, language, licences, near_dedup, paragraph_dedup, pieces, pii,
-                            quality_rules, substring_dedup)
-from claimscope.llm.common import prefix_pairs, table
+                            quality_rules, similarity, substring_dedup)
+from claimscope.llm.common import least_pairs, prefix_pairs, prefix_side, table
 
 WORDS = [f"w{i}{'abcdefg'[i % 7]}" for i in range(400)]
 
@@ -150,10 +150,10 @@ def test_prefix_pairs_lose_no_similar_pair(spark):
     r = np.random.default_rng(3)
     units = r.integers(1, 4, (40, 30)) * (r.random((40, 30)) < 0.9)
     units[20:] = np.maximum(units[:20] + (r.random((20, 30)) < 0.1) - (r.random((20, 30)) < 0.1), 0)
-    grams = spark.createDataFrame([(bytes([i]), int(g), int(w)) for i, u in enumerate(units) for g, w in enumerate(u) if w], near_dedup.GRAMS)
+    grams = spark.createDataFrame([(bytes([i]), int(g), int(w)) for i, u in enumerate(units) for g, w in enumerate(u) if w], similarity.GRAMS)
     comps = spark.createDataFrame([(bytes([i]), bytes([i])) for i in range(40)], "key binary, comp binary")
-    got = {(x.a[0], x.b[0]) for x in prefix_pairs(comps, grams, 0.6).collect()}
-    want = {(i, j) for i in range(40) for j in range(i) if near_dedup.probability_jaccard(units[i].astype(float), units[j].astype(float)) >= 0.6}
+    got = {(x.a[0], x.b[0]) for x in prefix_pairs(prefix_side(comps, grams, 0.6), 0.6).collect()}
+    want = {(i, j) for i in range(40) for j in range(i) if similarity.probability_jaccard(units[i].astype(float), units[j].astype(float)) >= 0.6}
     assert want and want <= got
 
 
@@ -163,7 +163,7 @@ def test_probability_jaccard_against_definition():
         x, y = r.integers(0, 4, 12).astype(float), r.integers(0, 4, 12).astype(float)
         a, b = x / x.sum(), y / y.sum()
         want = sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in range(12)) for i in range(12) if a[i] and b[i])
-        assert near_dedup.probability_jaccard(x, y) == pytest.approx(want)
+        assert similarity.probability_jaccard(x, y) == pytest.approx(want)
 
 
 def test_paragraph_dedup(spark):
@@ -188,9 +188,29 @@ def test_paragraph_dedup_of_short_and_wrapped_lines(spark):
                            (4, 0, 1, 4, 0, False), (4, 0, 1, 4, 0, True)])
 
 
+BASE_PATTERNS = [re.compile(p) for p in (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def test_pii_patterns_never_retry():
+    """The same spans as the plain patterns on signs in any order, and no more than linear time on long runs."""
+    r = random.Random(9)
+    for _ in range(4000):
+        text = "".join(r.choice("aZ_.-@@+ 00012459..()x") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(text) == brute_spans(text)
+    import time
+    n = 1_000_000
+    at = time.perf_counter()
+    for text in ("1" * n, "1." * (n // 2), "a" * n + "@", "a@" * (n // 2), "+" + "(" * n, "a@b" + ".c" * n, "1 " * n, "0" * 5_000 + "1.2.3.4", "1.2.3." + "9" * n, "+1" * (n // 2)):
+        pii.base_spans(text)
+    assert time.perf_counter() - at < 30
+    assert pii.base_spans("0" * 5_000 + "1.2.3.4") == [(0, 5_007, 1)]
+
+
 def brute_spans(text):
     out = []
-    for k, p in enumerate(pii.PATTERNS):
+    for k, p in enumerate(BASE_PATTERNS):
         for m in p.finditer(text):
             digits = re.sub("[^0-9]", "", m.group())
             luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
@@ -349,3 +369,25 @@ def test_pipeline(spark, sf):
     import corpus_pipeline
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and all(r.round_trip for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_index_of_sets_equals_dense_vectors():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        x, y = r.integers(0, 4, 30) * (r.random(30) < 0.6), r.integers(0, 4, 30) * (r.random(30) < 0.6)
+        pack = lambda v: (np.flatnonzero(v).astype(np.uint64) * np.uint64(7), v[v > 0].astype(np.uint32))
+        assert similarity.index_of(*pack(x), *pack(y)) == pytest.approx(similarity.probability_jaccard(x.astype(float), y.astype(float)))
+
+
+def test_stages_with_clashing_names_and_empty_tables(spark, sf):
+    """Columns named like everything the stages use inside come back as they were; an empty table stays empty."""
+    import corpus_pipeline
+    names = ["_rep", "_key", "h_doc", "h_tag", "key", "comp", "rep", "row", "of", "id", "tag", "at", "ids", "n_words", "start", "spans", "rows", "n_chars"]
+    rows = [(i, prose(60 + i % 4), *range(len(names))) for i in range(6)] + [(None, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        for table_ in (docs, docs.limit(0)):
+            out = stage(spark, table_, sf).collect()
+            assert len(out) <= len(rows) and (table_ is docs) == bool(out)
+            if name != "sentencepiece" and out:
+                assert all(r[n] == i or n == "n_chars" for r in out for i, n in enumerate(names))
