@@ -16,7 +16,7 @@ from claimscope.session import ensure_checkpoint_dir
 #: A join side is broadcast only if its measured size stays below this.
 BROADCAST_BYTES = 24 << 20
 #: Bytes of an Arrow batch that goes to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
