@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.similarity import GRAMS, set_rows, similar_sets
+from claimscope.llm.similarity import BIT_SCHEMA, BIT_WORDS, GRAMS, set_bits, set_rows, similar_sets
 from claimscope.session import ensure_checkpoint_dir
 
 #: A join side is broadcast only if its measured size stays below this.
@@ -23,24 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_BYTES (one longer row stands alone) for the jobs that run inside."""
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold at most BATCH_BYTES (one longer row stands alone), unless it is bounded lower already.
+
+    Operators call it when they are built, since their last step runs when the caller writes the result.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    with bounded_batches(spark):
-        df.write.option("compression", compression).parquet(path)
+    bound_batches(spark)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -121,10 +119,26 @@ def central_pairs(members: DataFrame) -> DataFrame:
         F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
 
 
+BITS = [f"b{i}" for i in range(BIT_WORDS)]
+
+
+def may_be_similar(similarity: float, other: str) -> Column:
+    """Whether two units can reach ``similarity`` by what their shingles' bits and weights show.
+
+    A bit that one unit has and the other lacks stands for a shingle that the other lacks. So the lacking masses x, y (of 1)
+    are at least these bits over the weights' sums, and the index is at most 1 / (1 + x / (1 - x) + y / (1 - y)).
+    """
+    def lacks(a: str, b: str) -> Column:
+        n = sum((F.bit_count(F.col(f"{x}{a}").bitwiseAND(F.bitwise_not(F.col(f"{x}{b}")))) for x in BITS), F.lit(0))
+        return n / (F.col(f"total{a}") - n + 1e-9)
+
+    return lacks("", other) + lacks(other, "") <= 1 / similarity - 1 + 1e-6
+
+
 def prefix_side(units: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """(gram, key, comp, odds): the shingles by which units of different components can reach ``similarity``.
+    """(gram, key, odds, and the columns of ``units``): the shingles by which units of different components can reach ``similarity``.
 
-    ``units`` (key, comp), ``grams`` (key, gram, weight). Order every unit's shingles from the rarest
+    ``units`` (key, comp, total, bits), ``grams`` (key, gram, weight). Order every unit's shingles from the rarest
     on. Before the first one a pair shares, each side has a mass x, y (of 1) that the other lacks, and its
     (probability) Jaccard index is at most 1 / (1 + x / (1 - x) + y / (1 - y)). So two units can only be similar if
     they share a shingle before which little mass stands on both sides: odds x / (1 - x) that sum to
@@ -137,36 +151,29 @@ def prefix_side(units: DataFrame, grams: DataFrame, similarity: float) -> DataFr
     ranked = grams.select("key", "gram", "df", F.coalesce(F.sum("weight").over(head), F.lit(0)).alias("x"), F.sum("weight").over(by_unit).alias("all"))
     ranked = ranked.select("key", "gram", "df", (F.col("x") / (F.col("all") - F.col("x"))).alias("odds")).where(
         (F.col("df") > 1) & (F.col("odds") <= slack + 1e-9))
-    return ranked.join(units, "key").select("gram", "key", "comp", "odds")
+    return ranked.drop("df").join(units, "key")
 
 
 def least_pairs(side: DataFrame, similarity: float) -> DataFrame:
     """(a, b): every unit of a shingle of ``side`` with that shingle's unit of least odds, where the two can be similar.
 
-    If two units of the shingle can be similar, each can also be similar to this one, so where both then are,
-    the two are in one component without having been compared.
+    Where many units of a shingle are similar to each other, most are so to this one too, and are in one component
+    without having been compared in pairs.
     """
-    least = side.groupBy("gram").agg(F.min(F.struct("odds", "key", "comp")).alias("h")).select("gram", "h.*").toDF("gram", "odds_h", "hub", "comp_h")
-    near = side.join(least, "gram").where((F.col("comp") != F.col("comp_h")) & (F.col("odds") + F.col("odds_h") <= 1 / similarity - 1 + 1e-9))
+    kept = ["comp", "odds", "total", *BITS]
+    least = side.groupBy("gram").agg(F.min(F.struct("odds", "key", "comp", "total", *BITS)).alias("h")).select(
+        "gram", F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"{c}_h") for c in kept])
+    near = side.join(least, "gram").where((F.col("comp") != F.col("comp_h")) & (F.col("odds") + F.col("odds_h") <= 1 / similarity - 1 + 1e-9)
+                                          & may_be_similar(similarity, "_h"))
     return near.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
 
 
 def prefix_pairs(side: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of units of different components that can reach ``similarity`` by ``side``; none that can is left out."""
-    other = side.select("gram", F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("odds").alias("odds_b"))
-    return side.join(other, "gram").where((F.col("key") > F.col("b")) & (F.col("comp") != F.col("comp_b"))
-                                          & (F.col("odds") + F.col("odds_b") <= 1 / similarity - 1 + 1e-9)).select(F.col("key").alias("a"), "b").distinct()
-
-
-def relabelled(side: DataFrame, comp: DataFrame) -> DataFrame:
-    """``side`` with the components of ``comp``, without shingles whose units are in one by now."""
-    now = side.drop("comp").join(comp, "key", "left").select("gram", "key", F.coalesce("comp", "key").alias("comp"), "odds")
-    several = now.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
-    return now.join(several, "gram")
-
-
-#: Rounds in which the units of open shingles are compared with one unit each, before pairs are formed of what is left.
-LEAST_ROUNDS = 3
+    other = side.select("gram", *[F.col(c).alias(f"{c}_o") for c in ("key", "comp", "odds", "total", *BITS)])
+    return side.join(other, "gram").where(
+        (F.col("key") > F.col("key_o")) & (F.col("comp") != F.col("comp_o")) & (F.col("odds") + F.col("odds_o") <= 1 / similarity - 1 + 1e-9)
+        & may_be_similar(similarity, "_o")).select(F.col("key").alias("a"), F.col("key_o").alias("b")).distinct()
 
 
 def link_near(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -176,8 +183,8 @@ def link_near(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simil
     returns their shingles (key, grams, weights: ``similarity.SETS``), which are stored once and
     serve every comparison. No bucket is expanded into its pairs. First each unit is
     paired with the hub of each of its buckets. A bucket whose units then lie in one component is
-    settled. The units of the others are compared by their rarest shingles (``prefix_side``): with the unit of
-    least odds of each shingle, round by round, and at last in pairs, so
+    settled. The units of the others are compared by their rarest shingles (``prefix_side``): first with the unit of
+    least odds of each shingle, then in pairs, where their bits allow the similarity (``may_be_similar``), so
     that no two colliding units of different components that can be similar stay uncompared.
     Returns (links (a, b), membership (key, comp)); the links span the components and are not all there are.
     """
@@ -199,16 +206,19 @@ def link_near(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simil
     rest = stored(labelled.join(open_, "band").select("key", "comp").distinct())
     if rest.isEmpty():
         return links, comp
-    grams = sets.join(rest.select("key"), "key").mapInArrow(set_rows, GRAMS)
-    side = stored(prefix_side(rest, stored(grams), similarity))
-    for step in range(LEAST_ROUNDS + 1):
-        pairs = least_pairs(side, similarity) if step < LEAST_ROUNDS else prefix_pairs(side, similarity)
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+    mine = stored(sets.join(rest, "key").select("key", "comp", "grams", "weights"))
+    units = stored(mine.select("key", "grams", "weights").mapInArrow(set_bits, BIT_SCHEMA).join(rest, "key"))
+    side = stored(prefix_side(units, stored(mine.select("key", "grams", "weights").mapInArrow(set_rows, GRAMS)), similarity))
+    for form_pairs in (least_pairs, prefix_pairs):
+        pairs = stored(form_pairs(side, similarity).join(tried, ["a", "b"], "left_anti"))
         more = stored(verified(pairs))
-        if not more.isEmpty():
-            links = stored(links.unionByName(more))
-            stars = comp.where("key <> comp").select(F.col("key").alias("a"), F.col("comp").alias("b"))
-            comp = stored(components(stars.unionByName(more)))
-            side = stored(relabelled(side, comp))
-        tried = stored(tried.unionByName(pairs))
+        if more.isEmpty():
+            continue
+        links = stored(links.unionByName(more))
+        stars = comp.where("key <> comp").select(F.col("key").alias("a"), F.col("comp").alias("b"))
+        comp = stored(components(stars.unionByName(more)))
+        if form_pairs is least_pairs:
+            tried = stored(tried.unionByName(pairs))
+            now = stored(rest.select("key").join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("comp")))
+            side = stored(side.drop("comp").join(now, "key"))
     return links, comp

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimscope.llm.common import bound_batches
 from claimscope.llm.textnum import row_chunks, strings
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -120,6 +121,7 @@ def transform(docs: DataFrame, seed: int = 1) -> DataFrame:
     and text are read; an empty table gives an empty one. A text is one row of one task, whatever its
     length, and takes a fixed multiple of its bytes.
     """
+    bound_batches(docs.sparkSession)
     sha = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     number = [F.conv(F.substring(sha, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)]
 
@@ -158,6 +160,7 @@ def restore(formatted: DataFrame) -> DataFrame:
     Null where the form is none of the three, or the output lacks the sentinels of its form; a null output counts as
     empty. All columns stay, in order; an empty table gives an empty one.
     """
+    bound_batches(formatted.sparkSession)
     at_output, at_form = formatted.columns.index("output"), formatted.columns.index("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import hash_sample
+from claimscope.llm.common import bound_batches, hash_sample
 
 SAMPLE = 200
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.6, 0.7
@@ -228,6 +228,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Paragraphs are \\n-separated lines of the whole text; a notice broken over two lines counts at its
     first. A line without any anchor is unknown. Null and empty texts have none. Only doc_id and text are read.
     """
+    bound_batches(docs.sparkSession)
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

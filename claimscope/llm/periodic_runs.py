@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimscope.llm.common import bound_batches
 from claimscope.llm.textnum import NONSPACE, U, mix, prefix_sums, range_hash, row_chunks, strings, words
 
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -255,6 +256,7 @@ def collapse_runs(docs: DataFrame, plant: bool = False) -> DataFrame:
     empty string. Only doc_id and text are read; repeated rows are rows of their own, an empty table gives an empty
     one. A text is one row of one task; it takes some 30 numbers a word, and only if it repeats a window.
     """
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column(1))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from claimscope.llm.common import bound_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "\u2581"
 CUT = re.compile(r" *[^ ]+| +")
@@ -88,8 +90,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def edges(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(end, start, piece) of every occurrence of a piece in the concatenated words, sorted by end, then start."""
+def edges(words: list[bytes], v: Vocabulary, ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, start, piece) of every occurrence of a piece in the concatenated words, sorted by end, then start (if ``ordered``)."""
     data = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)
     n = len(data)
     # 8-byte blocks of every suffix; the separator (never part of UTF-8) ends all matches
@@ -118,12 +120,16 @@ def edges(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
     which = np.repeat(np.arange(len(found)), found)
     at = order[np.repeat(lo, found) + np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)]
     end = at + v.lengths[which]
+    if not ordered:
+        return end, at, v.ids[which]
     by = np.lexsort((at, end))
     return end[by], at[by], v.ids[which][by]
 
 
-def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
-    """Ids of each word (leading blanks, then no blank inside)."""
+def encode_long_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
+    """``encode_words`` place by place, for words of any length."""
+    if not words:
+        return []
     raw = [w.replace(BLANK, "\x00").encode() for w in words]  # a literal blank mark has no piece here
     end, start, piece = edges(raw, v)
     sizes = np.array([len(r) for r in raw]) + 1
@@ -169,6 +175,105 @@ def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
     return out
 
 
+class PairTable:
+    """The pair rule for arrays of pairs: a table by hash of the latest pairs, the vocabulary's own memory behind it."""
+
+    SLOTS = 1 << 20
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.width = v, np.int64(max(v.texts) + 2)
+        self.code, self.rule = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool)
+
+    def __call__(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        code = (before + 1) * self.width + piece
+        slot = (((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        out = self.rule[slot]
+        miss = np.flatnonzero(self.code[slot] != code)
+        if len(miss):
+            new, at = np.unique(code[miss], return_inverse=True)
+            rule = np.array([self.v.apart(c // int(self.width) - 1, c % int(self.width)) for c in new.tolist()], bool)
+            out[miss] = rule[at]
+            self.code[slot[miss]], self.rule[slot[miss]] = code[miss], rule[at]
+        return out
+
+
+@cache
+def pair_table(v: Vocabulary) -> PairTable:
+    return PairTable(v)
+
+
+#: Words of more bytes are relaxed one by one.
+LONG = 256
+
+
+def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
+    """Ids of each word (leading blanks, then no blank inside); words are relaxed together, by the distance of a place from its word's start."""
+    raw = [w.replace(BLANK, "\x00").encode() for w in words]  # a literal blank mark has no piece here
+    odd = [i for i, r in enumerate(raw) if len(r) > LONG or b"\x00" in r]
+    if odd:
+        out: list = [None] * len(words)
+        for i, ids in zip(odd, encode_long_words([words[i] for i in odd], v)):
+            out[i] = ids
+        rest = [i for i in range(len(words)) if out[i] is None]
+        for i, ids in zip(rest, encode_words([words[i] for i in rest], v) if rest else []):
+            out[i] = ids
+        return out
+    end, start, piece = edges(raw, v, ordered=False)
+    data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
+    size = np.array([len(r) for r in raw])
+    begin = np.cumsum(size + 1) - size - 1
+    apart = pair_table(v)
+    place = np.arange(len(data))
+    far = (place - np.repeat(begin, size + 1)).astype(np.uint16)    # from the word's start; small numbers sort fast
+    head = (data & 0xC0) != 0x80                                    # a character (or the word's end) is here
+    before_head = np.maximum.accumulate(np.where(head, place, 0))
+    came = np.append(0, before_head[:-1])                           # start of the character that ends here
+    single = np.zeros(len(data), bool)                              # that character is a piece
+    single[end[start == came[end]]] = True
+    order = np.argsort(far[end], kind="stable")                     # edges by distance
+    end, start, piece = end[order], start[order], piece[order]
+    steps = np.searchsorted(far[end], np.arange(1, int(size.max(initial=0)) + 2))
+    stops = np.flatnonzero(head & (far > 0))
+    stops = stops[np.argsort(far[stops], kind="stable")]
+    stop_steps = np.searchsorted(far[stops], np.arange(1, int(size.max(initial=0)) + 2))
+    last = np.full(len(data), -2, np.int64)                         # piece that ends here in the segmentation up to here; -2: none yet
+    last[begin] = -1
+    for k in range(len(steps) - 1):
+        s, e, b = start[steps[k]: steps[k + 1]], end[steps[k]: steps[k + 1]], piece[steps[k]: steps[k + 1]]
+        reached = np.flatnonzero(last[s] > -2)
+        s, e, b = s[reached], e[reached], b[reached]
+        won = np.flatnonzero(apart(last[s], b))                     # one of the edges that end at a place
+        last[e[won]], came[e[won]] = b[won], s[won]
+        at = stops[stop_steps[k]: stop_steps[k + 1]]
+        at = at[(last[at] == -2) & ~single[at]]                     # a character's end that no piece reaches: its bytes
+        at = at[last[before_head[at - 1]] > -2]
+        last[at] = -1
+        came[at] = before_head[at - 1]
+    # back from the ends; byte pieces are one id a byte
+    parts, word, at, turn = [], np.arange(len(raw)), begin + size, 0
+    live = np.flatnonzero(size > 0)
+    word, at = word[live], at[live]
+    while len(word):
+        parts.append((word, np.full(len(word), turn), last[at], came[at], at))
+        at = came[at]
+        go = at > begin[word]
+        word, at, turn = word[go], at[go], turn + 1
+    if not parts:
+        return [np.zeros(0, np.int32) for _ in raw]
+    word, turn, ids, lo, hi = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((-turn, word))
+    word, ids, lo, hi = word[order], ids[order], lo[order], hi[order]
+    count = np.where(ids >= 0, 1, hi - lo)
+    flat = np.repeat(ids, count)
+    byte = np.flatnonzero(flat < 0)
+    if len(byte):
+        first = np.cumsum(count) - count
+        offset = np.arange(len(flat)) - np.repeat(first, count)
+        flat[byte] = np.array(v.byte_id)[data[np.repeat(lo, count)[byte] + offset[byte]]]
+    cuts = np.cumsum(np.bincount(word, count, len(raw)).astype(np.int64))[:-1]
+    return np.split(flat.astype(np.int32), cuts)
+
+
 def joined(ids: np.ndarray, v: Vocabulary) -> str:
     """Pieces and byte pieces of ids as one text, with the blank that every encoded text starts with."""
     return b"".join([v.bytes[i] for i in ids.tolist()]).decode("utf-8", "replace")
@@ -204,6 +309,7 @@ def encode(docs: DataFrame, model: str = MODEL, batch_bytes: int = 4 << 20) -> D
     round_trip tells whether decoding the ids gives the text again. Null and empty texts have no
     ids. Only doc_id and text are read.
     """
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         v = encoder.v

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import hash_sample
+from claimscope.llm.common import bound_batches, hash_sample
 
 KINDS = ["email", "ip", "card", "phone"]
 # The contract's patterns, written so that no text makes them retry: nothing that may follow a possessive part begins with a
@@ -363,6 +363,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans. Only doc_id and text are read.
     """
+    bound_batches(docs.sparkSession)
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,6 +394,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` masked (and ``n_chars`` to match, if there); null texts stay null."""
+    bound_batches(docs.sparkSession)
     model = train(docs)
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

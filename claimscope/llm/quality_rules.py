@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from claimscope.llm.common import bound_batches
 from claimscope.llm.textnum import NONSPACE, U, mix, prefix_sums, range_hash, row_chunks, strings, words
 
 MIN_WORDS = 50
@@ -135,6 +136,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, so the base rules fail them. Only doc_id and text are read.
     """
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column(1))
@@ -151,6 +153,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents, all columns as they were but ``text``, which loses its failing lines (and ``n_chars``, if there)."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

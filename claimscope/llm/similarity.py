@@ -12,6 +12,9 @@ from claimscope.llm.textnum import U, row_chunks, shingles, strings, weighted_se
 #: A unit's distinct shingle hashes, ascending (8 bytes each), and how often it holds them (4 bytes each).
 SETS = "key binary, grams binary, weights binary"
 GRAMS = "key binary, gram bigint, weight bigint"
+#: A unit's shingles as bits of 64-bit words, and the sum of their weights.
+BIT_WORDS = 16
+BIT_SCHEMA = "key binary, total bigint, " + ", ".join(f"b{i} bigint" for i in range(BIT_WORDS))
 
 
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -87,3 +90,16 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(gram):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(gram), r))), pa.array(gram), pa.array(weight)],
                                                  ["key", "gram", "weight"])
+
+
+def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """BIT_SCHEMA of SETS: shingle h sets bit h mod (64 BIT_WORDS)."""
+    for batch in batches:
+        bits = np.zeros((batch.num_rows, BIT_WORDS), U)
+        total = np.zeros(batch.num_rows, np.int64)
+        for r in range(batch.num_rows):
+            at = (np.frombuffer(batch.column(1)[r].as_buffer(), U) % U(64 * BIT_WORDS)).astype(np.int64)
+            np.bitwise_or.at(bits[r], at >> 6, U(1) << (at & 63).astype(U))
+            total[r] = np.frombuffer(batch.column(2)[r].as_buffer(), np.uint32).sum()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), *(pa.array(bits[:, i].view(np.int64)) for i in range(BIT_WORDS))],
+                                         ["key", "total", *(f"b{i}" for i in range(BIT_WORDS))])

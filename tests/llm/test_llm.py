@@ -151,8 +151,11 @@ def test_prefix_pairs_lose_no_similar_pair(spark):
     units = r.integers(1, 4, (40, 30)) * (r.random((40, 30)) < 0.9)
     units[20:] = np.maximum(units[:20] + (r.random((20, 30)) < 0.1) - (r.random((20, 30)) < 0.1), 0)
     grams = spark.createDataFrame([(bytes([i]), int(g), int(w)) for i, u in enumerate(units) for g, w in enumerate(u) if w], similarity.GRAMS)
-    comps = spark.createDataFrame([(bytes([i]), bytes([i])) for i in range(40)], "key binary, comp binary")
-    got = {(x.a[0], x.b[0]) for x in prefix_pairs(prefix_side(comps, grams, 0.6), 0.6).collect()}
+    sets = spark.createDataFrame([(bytes([i]), np.flatnonzero(u).astype(np.uint64).tobytes(), u[u > 0].astype(np.uint32).tobytes()) for i, u in enumerate(units)], similarity.SETS)
+    comps = sets.mapInArrow(similarity.set_bits, similarity.BIT_SCHEMA).selectExpr("*", "key AS comp")
+    side = prefix_side(comps, grams, 0.6)
+    got = {(x.a[0], x.b[0]) for x in prefix_pairs(side, 0.6).collect()}
+    assert {(x.a[0], x.b[0]) for x in least_pairs(side, 0.6).collect()} <= got
     want = {(i, j) for i in range(40) for j in range(i) if similarity.probability_jaccard(units[i].astype(float), units[j].astype(float)) >= 0.6}
     assert want and want <= got
 
@@ -391,3 +394,11 @@ def test_stages_with_clashing_names_and_empty_tables(spark, sf):
             assert len(out) <= len(rows) and (table_ is docs) == bool(out)
             if name != "sentencepiece" and out:
                 assert all(r[n] == i or n == "n_chars" for r in out for i, n in enumerate(names))
+
+
+def test_words_relaxed_together_equal_words_one_by_one():
+    v = pieces.vocabulary(pieces.MODEL)
+    r = random.Random(1)
+    words = [" " * r.randint(0, 3) + "".join(r.choice("abehtionsTIéüß漢😀▁\x00.,0129-ñçœ\n") for _ in range(r.randint(1, 14))) for _ in range(5000)]
+    words += [" ", " " * 5, "the", "x" * 700, " " + "漢字" * 200]
+    assert [x.tolist() for x in pieces.encode_words(words, v)] == [x.tolist() for x in pieces.encode_long_words(words, v)]
