@@ -173,7 +173,7 @@ def test_paragraph_dedup(spark):
     near = prose(7, 60).replace("w", "v", 1)
     rows = [(1, "alpha beta\n" + prose(7, 60)), (2, prose(8, 60) + "\n" + near), (3, prose(9, 60)), (4, None), (5, ""), (6, prose(7, 60)), (6, prose(7, 60))]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id bigint, text string, line int")
-    got = sorted((r.doc_id, r.line, r.class_doc_id, r.class_line, r.removed) for r in paragraph_dedup.repeated_paragraphs(df).collect())
+    got = sorted((r.doc_id, r.line, r.class_doc_id, r.class_line, r.removed) for r in paragraph_dedup.repeated_paragraphs(df).collect() if r.n_lines)
     assert got[0] == (1, 1, 1, 1, False) and got[1] == (2, 1, 1, 1, True) and len(got) == 4 and all(g[4] for g in got[1:])
     assert paragraph_dedup.repeated_paragraphs(df.limit(0)).count() == 0
 
@@ -186,9 +186,43 @@ def test_paragraph_dedup_of_short_and_wrapped_lines(spark):
     twice = "\n".join([" ".join(prose(55, 20).split()), "ends here"])  # its run is near its own first line
     rows = [(1, "Read more\n\n" + " ".join(w)), (2, "Read more\n\n" + wrapped), (3, "\nread  MORE!"), (4, long), (4, long), (5, twice)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = Counter((r.doc_id, r.line, r.n_lines, r.class_doc_id, r.class_line, r.removed) for r in paragraph_dedup.repeated_paragraphs(df).collect())
-    assert got == Counter([(1, 0, 1, 1, 0, False), (2, 0, 1, 1, 0, True), (3, 1, 1, 1, 0, True), (1, 2, 1, 1, 2, False), (2, 2, 8, 1, 2, True),
-                           (4, 0, 1, 4, 0, False), (4, 0, 1, 4, 0, True)])
+    got = Counter((r.doc_id, r.line, r.n_lines, r.class_doc_id, r.class_line, r.removed) for r in paragraph_dedup.repeated_paragraphs(df).collect() if r.n_lines)
+    assert got == Counter([(1, 2, 1, 1, 2, False), (2, 2, 8, 1, 2, True), (4, 0, 1, 4, 0, False), (4, 0, 1, 4, 0, True)])
+    short = {(r.doc_id, r.line) for r in paragraph_dedup.repeated_short_lines(df).collect()}
+    assert short == {(1, 0), (2, 0), (3, 1)}
+
+
+def test_short_lines_count_beside_a_repeated_paragraph(spark):
+    rows = [(1, "Same title\n" + prose(71, 40) + "\nother end"), (2, "Same title\n" + prose(71, 40)), (3, "x y\n\nSame title"), (4, prose(72, 40))]
+    got = {(r.doc_id, r.line) for r in paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.n_lines}
+    assert got == {(1, 0), (1, 1), (2, 0), (2, 1)}
+
+
+def test_passages_inside_other_paragraphs(spark, sf):
+    """Planted passages of 52 words and more in other lines, and the documents of a table that share one: found, others left alone."""
+    r = random.Random(2)
+    some = lambda n: " ".join(f"u{r.randint(0, 9999)}" for _ in range(n))
+    rows, planted = [], set()
+    for k in range(60):
+        passage = some(r.randint(52, 90))
+        for _ in range(2):
+            planted.add(len(rows))
+            rows.append((len(rows), some(r.randint(0, 40)) + " " + re.sub(r" ", lambda m: r.choice(["  ", "\n", " ", ", "]), passage) + " " + some(r.randint(0, 40))))
+        rows.append((len(rows), some(100)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id for x in paragraph_dedup.repeated_paragraphs(df).collect()}
+    assert got <= planted and len(got) >= 0.95 * len(planted)
+    kept = paragraph_dedup.repeated_passages(df).where("not removed").count()
+    assert kept * 2 == paragraph_dedup.repeated_passages(df).count()
+
+    docs = [(x.doc_id, words_of(x.text)) for x in table(spark, sf, "documents").collect()]
+    seen = defaultdict(set)
+    for d, w in docs:
+        for i in range(len(w) - 49):
+            seen[tuple(w[i:i + 50])].add(d)
+    sharing = {d for at in seen.values() if len(at) > 1 for d in at}
+    got = {x.doc_id for x in paragraph_dedup.repeated_paragraphs(table(spark, sf, "documents")).collect()}
+    assert len(got & sharing) >= 0.95 * len(sharing)
 
 
 BASE_PATTERNS = [re.compile(p) for p in (
