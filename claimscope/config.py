@@ -46,7 +46,6 @@ EXPECTED_COLUMNS = (
 )
 
 # FIXED VALUES: marks of text that was decoded as cp1252.
-MOJIBAKE_PATTERN = "Ã.|Â.|â€"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: product-name dictionaries (token -> stored form)
@@ -170,7 +169,7 @@ GROUNDING_MIN_MAGNITUDE = 10.0
 GROUNDING_TOLERANCE = 0.01
 MAX_RETRIES_ON_FAILURE = 1
 
-# Assertion patterns, matched case-insensitively on the lower-cased response text.
+# FIXED VALUES: assertion patterns, matched on the lower-cased response text.
 DECLINED_ASSERTIONS = (
     r"\b(?:was|is|has been|been|being)\s+(?:declined|rejected|refused|denied|turned down)\b"
     r"|\bwe\s+(?:have\s+)?(?:declined|rejected|refused|denied)\b"
@@ -241,7 +240,6 @@ THRESHOLD_RANGE = (0.05, 0.95)
 THRESHOLD_STEP = 0.01
 ROUTING_BANDS = ((-0.01, 0.30, "low"), (0.30, 0.70, "mid"), (0.70, 1.01, "high"))
 THIN_CELL_N = 50
-CLASS_WEIGHT_POSITIVE = 5.36
 TOP_CANDIDATES = 3
 SAMPLE_ROWS = 400
 
