@@ -17,12 +17,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope import config as C
 from claimscope.operators.evaluate import best_threshold, confusion_at, grid_counts, ranking_metrics, stratified_folds
+from claimscope.operators.oversample import oversample
+from claimscope.session import cut_lineage
 
 T = TypeVar("T")
 FAMILIES = ("logistic_regression", "random_forest", "gbt", "mlp")
@@ -113,7 +115,14 @@ def fit(name: str, train: DataFrame, features, params: dict | None = None, seed:
     params = dict(params or {})
     if "C" in params:
         params["regParam"] = 1.0 / (params.pop("C") * max(train.count(), 1))
-    return build_model(name, features, params, seed).fit(with_class_weight(family_inputs(train, name, features)))
+    pipeline = build_model(name, features, params, seed)
+    if name == "mlp":                                            # takes no weights: the part is balanced instead, after scaling
+        pre = Pipeline(stages=pipeline.getStages()[:-1]).fit(train)
+        ready = cut_lineage(pre.transform(train).select("claim_id", C.TARGET, vector_to_array("features").alias("vector")))
+        both = ready.select(C.TARGET, "vector").unionByName(oversample(ready, seed=seed).select(C.TARGET, "vector"))
+        model = pipeline.getStages()[-1].fit(both.select(C.TARGET, array_to_vector("vector").alias("features")))
+        return PipelineModel([*pre.stages, model])
+    return pipeline.fit(with_class_weight(family_inputs(train, name, features)))
 
 
 def with_inner_folds(data: DataFrame, k: int = C.N_FOLDS, inner: int = C.INNER_FOLDS, label: str = C.TARGET, id_col: str = "claim_id",

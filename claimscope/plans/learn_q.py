@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from claimscope import config as C
@@ -16,6 +18,7 @@ from claimscope.operators import attribution as AT
 from claimscope.operators import decide as DE
 from claimscope.operators import evaluate as EV
 from claimscope.operators import learn as LN
+from claimscope.operators import oversample as OV
 from claimscope.operators import search as SE
 from claimscope.plans import eval_q as EQ
 from claimscope.plans.common import feature_matrix, persisted
@@ -139,6 +142,30 @@ def x5_nested_protocol(spark, sf_dir):
         F.count_if(~F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("n_invalid"))
 
 
+@query("x3_oversampling", with_ctes(EQ.CLAIMS_NT, EQ.LABELS, EQ.FOLDED)(
+    "SELECT y, n AS n_real, max(n) OVER () - n AS n_synthetic, CAST(0 AS BIGINT) AS n_off_segment, CAST(0 AS BIGINT) AS n_of_another_class "
+    "FROM (SELECT y, count(*) AS n FROM folded WHERE fold <> 0 GROUP BY y)"))
+def x3_oversampling(spark, sf_dir):
+    """The training part of fold 0, imputed and scaled, and its synthetic rows: classes equal in number, every synthetic row between two
+    rows of its own class and of the training part."""
+    m, feats = fold_matrix(spark, sf_dir)
+    train = m.where("fold <> 0")
+    pre = Pipeline(stages=LN.build_model("mlp", feats).getStages()[:-1]).fit(train)
+    ready = cut_lineage(pre.transform(train).select("claim_id", C.TARGET, vector_to_array("features").alias("vector")))
+    made = cut_lineage(OV.oversample(ready))
+    end = lambda of, p: ready.select(F.col("claim_id").alias(of), F.col("vector").alias(f"{p}_vector"), F.col(C.TARGET).alias(f"{p}_y"))
+    both = made.join(end("claim_id", "a"), "claim_id", "left").join(end("other", "b"), "other", "left")
+    off = F.exists(F.arrays_zip(F.col("vector").alias("v"), F.col("a_vector").alias("a"), F.coalesce("b_vector", "a_vector").alias("b")),
+                   lambda z: F.abs(z["v"] - (z["a"] + F.col("gap") * (z["b"] - z["a"]))) > 1e-9)
+    on_line = F.col("gap").between(0, 1) & ~off
+    checked = both.groupBy(F.col(C.TARGET).alias("y")).agg(
+        F.count(F.lit(1)).alias("n_synthetic"), F.count_if(~F.coalesce(on_line, F.lit(False))).alias("n_off_segment"),
+        F.count_if((F.col("a_y") != F.col(C.TARGET)) | (F.coalesce("b_y", "a_y") != F.col(C.TARGET))).alias("n_of_another_class"))
+    real = ready.groupBy(F.col(C.TARGET).alias("y")).agg(F.count(F.lit(1)).alias("n_real"))
+    return real.join(checked, "y", "left").select("y", "n_real", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+        "n_synthetic", "n_off_segment", "n_of_another_class")])
+
+
 def _family_query(name: str, params: dict):
     @query(f"x1_{name}", with_ctes(EQ.CLAIMS_NT, EQ.LABELS, EQ.FOLDED)(
         f"SELECT '{name}' AS model, count(*) AS n_scored, CAST(sum(y) AS BIGINT) AS n_declined, CAST(0 AS BIGINT) AS n_invalid, "
