@@ -3,13 +3,15 @@
 Candidates: every 200-byte window is represented by the least-hash 48-byte string in it (its
 anchor), so equal windows share an anchor at the same place. An anchor's context is all that a
 window around it can hold. Anchors that occur once, and contexts that are the same wherever the
-anchor occurs, need no more work. The remaining contexts are cut into pieces of 16 window starts,
-grouped by the 185 bytes their windows share. In each group an enhanced suffix array is built
+anchor occurs, need no more work. Of the remaining contexts one of each content is shipped, once,
+to the task of its anchor. There they are cut into pieces of 16 window starts; pieces that
+share the 185 bytes all their windows hold form a group, over which an enhanced suffix array is built
 and its common-prefix interval tree is scanned with a stack: every interval of 200 bytes or more
-whose left neighbours differ is a maximal repeat group, with all its occurrences. A group of more
-than GROUP pieces is instead counted by content: pieces of equal content are repeated as they are,
-and one piece of each content is split further, to single windows, which are counted by digest:
-exact as well, and no task holds it whole. Strings longer than a context come out as overlapping spans.
+whose left neighbours differ is a maximal repeat group, with all its occurrences. An anchor of more
+than GROUP different contexts is instead counted by digests: pieces of equal content are repeated as they are,
+and one piece of each content that shares its 185 bytes with another content is split to single windows,
+which are counted: exact as well, and no task holds them whole. Strings longer than a context come out as
+overlapping spans.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,21 +74,44 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(packed)], ["h", "c", "doc_id", "tag", "packed"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts (doc_id, tag, text, xs: [start, end, anchor]) -> pieces of STARTS window starts, with the digest of the bytes they share."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (doc_id, tag, text, xs: [h, c, big, s, e, a]) -> their contexts with the bytes of each."""
     for batch in batches:
-        rows = []
-        for doc, tag, text, xs in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
-            for start, end, anchor in {(x["s"], x["e"], x["a"]) for x in xs}:
-                for grid in range(anchor - SPAN, anchor + 1, STARTS):   # the same places for every context of an anchor
-                    first, last = max(grid, start), min(grid + STARTS - 1, end - LENGTH)
-                    if first <= last:
-                        core, whole = raw[grid + STARTS - 1: grid + LENGTH], raw[first: last + LENGTH]
-                        rows.append((hashlib.blake2b(core, digest_size=16).digest(), doc, tag, first, whole))
-        cols = list(zip(*rows)) or [()] * 5
+        xs = batch.column(3)
+        row = np.repeat(np.arange(len(xs)), pa.compute.list_value_length(xs).to_numpy(zero_copy_only=False))
+        flat = xs.flatten()
+        s, e = flat.field("s"), flat.field("e")
+        raws = [t.encode() for t in batch.column(2).to_pylist()]
+        whole = [raws[r][i:j] for r, i, j in zip(row.tolist(), s.to_pylist(), e.to_pylist())]
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [flat.field("h"), flat.field("c"), flat.field("big"), batch.column(0).take(take), batch.column(1).take(take), s,
+             pa.compute.subtract(flat.field("a"), s), pa.array(whole, pa.binary())], ["h", "c", "big", "doc_id", "tag", "s", "at", "whole"])
+
+
+def pieces(whole: bytes, at: int) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes that all its windows share, first, end) of the pieces of STARTS window starts of a context with its anchor at ``at``.
+
+    Pieces lie at the same places before the anchor in every context, so equal windows are in pieces that share these bytes.
+    """
+    for grid in range(at - SPAN, at + 1, STARTS):
+        first, last = max(grid, 0), min(grid + STARTS - 1, len(whole) - LENGTH)
+        if first <= last:
+            yield whole[grid + STARTS - 1: grid + LENGTH], first, last + LENGTH
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts (h, c, doc_id, tag, s, at, whole) -> their pieces by digests: of the shared bytes (key) and of all bytes (p)."""
+    def short(x: bytes) -> bytes:
+        return hashlib.blake2b(x, digest_size=16).digest()
+
+    for batch in batches:
+        rows = [(short(core), short(whole[i:j]), h, c, doc, tag, s + i, i, j - i)
+                for h, c, doc, tag, s, at, whole in zip(*(x.to_pylist() for x in batch.columns)) for core, i, j in pieces(whole, at)]
+        cols = list(zip(*rows)) or [()] * 9
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
-            pa.binary(), batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary()))], ["key", "doc_id", "tag", "s", "whole"])
+            pa.binary(), pa.binary(), pa.int64(), pa.int64(), batch.schema.field(2).type, pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
+            ["key", "p", "h", "c", "doc_id", "tag", "s", "i", "n"])
 
 
 def interval_groups(parts: list[bytes], names: list[tuple] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -134,24 +160,33 @@ def interval_groups(parts: list[bytes], names: list[tuple] | None = None) -> lis
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by key -> occurrences (group, length, doc_id, tag, start) of maximal repeats; one key is held at a time."""
+    """Contexts sorted by anchor -> occurrences (group, length, doc_id, tag, start) of maximal repeats; one anchor is held at a time."""
     now, held = None, []
 
     def close():
-        return [(now + g.to_bytes(4, "big"), size, held[i][1], held[i][2], held[i][3] + s)
-                for g, (size, at) in enumerate(interval_groups([x[0] for x in held], [((x[1], x[2]), x[3]) for x in held])) for i, s in at]
+        by_core: dict = {}
+        for doc, tag, s, at, whole in held:
+            for core, i, j in pieces(whole, at):
+                by_core.setdefault(core, []).append((whole[i:j], doc, tag, s + i))
+        for core, parts in by_core.items():
+            if len(parts) < 2:
+                continue
+            name = hashlib.blake2b(core, digest_size=16).digest()
+            for g, (size, at) in enumerate(interval_groups([x[0] for x in parts], [((x[1], x[2]), x[3]) for x in parts])):
+                group = name + g.to_bytes(4, "big")
+                yield from ((group, size, parts[i][1], parts[i][2], parts[i][3] + s) for i, s in at)
 
     kind = None
     for batch in batches:
         kind, out = batch.schema.field(1).type, []
-        for key, doc, tag, s, whole in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now:
-                out += close() if held else []
-                now, held = key, []
-            held.append((whole, doc, tag, s))
+        for h, *context in zip(*(c.to_pylist() for c in batch.columns)):
+            if h != now:
+                out += close()
+                now, held = h, []
+            held.append(context)
         if out:
             yield _occurrences(out, kind)
-    if held and (out := close()):
+    if out := list(close()):
         yield _occurrences(out, kind)
 
 
@@ -179,28 +214,34 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = rows.where("not mixed").select("doc_id", "tag", "s", "e").unionByName(
         mixed.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "tag", "s", "e"))
 
-    need = contexts.select("at.*").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e", "a")).alias("xs")).select(
-        F.col("doc_id").alias("d"), F.col("tag").alias("t"), "xs")
-    need = stored(need)
+    hot = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("h", F.lit(True).alias("hot")))
+    need = contexts.join(sized(hot), "h", "left").select(
+        "at.doc_id", "at.tag", F.struct("h", "c", F.col("hot").isNotNull().alias("big"), "at.s", "at.e", "at.a").alias("x"))
+    need = stored(need.groupBy("doc_id", "tag").agg(F.collect_set("x").alias("xs")).select(
+        F.col("doc_id").alias("d"), F.col("tag").alias("t"), "xs"))
     texts = docs.join(sized(need), docs.doc_id.eqNullSafe(F.col("d")) & (docs.tag == F.col("t"))).select("doc_id", "tag", "text", "xs")
-    parts = stored(texts.mapInArrow(_pieces, f"key binary, doc_id {doc_type}, tag bigint, s bigint, whole binary")
-                   .groupBy("key", "doc_id", "tag", "s").agg(F.max(F.struct(F.length("whole").alias("n"), "whole")).alias("x"))
-                   .select("key", "doc_id", "tag", "s", "x.whole"))
-    groups = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(parts.join(groups, "key"))
-    small = shared.where(F.col("n") <= GROUP).select("key", "doc_id", "tag", "s", "whole")
-    trees = stored(small.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "s").mapInArrow(
+    texts = stored(texts.mapInArrow(
+        _contexts, f"h bigint, c bigint, big boolean, doc_id {doc_type}, tag bigint, s bigint, at bigint, whole binary"))
+    # equal rows give equal contexts
+    small = texts.where("not big").select("h", "doc_id", "tag", "s", "at", "whole")
+    trees = stored(small.repartition("h").sortWithinPartitions("h").mapInArrow(
         _groups, f"group binary, length bigint, doc_id {doc_type}, tag bigint, s bigint"))
-    # of equal pieces in a large group every window is repeated; only one piece of each content is split further
-    large = shared.where(F.col("n") > GROUP).select("key", "doc_id", "tag", "s", "whole", F.unhex(F.md5("whole")).alias("p"))
-    contents = stored(large.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "s", "whole")).alias("at")))
-    alike = large.join(contents.where("n > 1").select("key", "p"), ["key", "p"])
-    starts = F.explode(F.sequence(F.lit(0), F.length("whole") - LENGTH))
-    single = stored(contents.select("at.*").select("doc_id", "tag", "s", "whole", starts.alias("i")).select(
-        F.unhex(F.md5(F.substring("whole", F.col("i") + 1, F.lit(LENGTH)))).alias("w"), "doc_id", "tag", (F.col("s") + F.col("i")).alias("s")).distinct())
+    large = texts.where("big").select("h", "c", "doc_id", "tag", "s", "at", "whole")
+    cut = stored(large.mapInArrow(
+        _digests, f"key binary, p binary, h bigint, c bigint, doc_id {doc_type}, tag bigint, s bigint, i bigint, n bigint")
+        .groupBy("key", "p", "doc_id", "tag", "s", "n").agg(F.min(F.struct("h", "c", "i")).alias("at")))
+    contents = stored(cut.groupBy("key", "p").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("at", "doc_id", "tag", "s", "n")).alias("x")))
+    alike = cut.join(contents.where("k > 1").select("key", "p"), ["key", "p"])
+    several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    one = contents.join(several, "key").select("x.at.*", "x.doc_id", "x.tag", "x.s", "x.n")
+    held = large.groupBy("h", "c").agg(F.min("whole").alias("whole"))
+    starts = F.explode(F.sequence(F.lit(0), F.col("n") - LENGTH))
+    single = stored(one.join(held, ["h", "c"]).select("doc_id", "tag", "s", "i", "whole", starts.alias("j")).select(
+        F.unhex(F.md5(F.substring("whole", (F.col("i") + F.col("j") + 1).cast("int"), F.lit(LENGTH)))).alias("w"),
+        "doc_id", "tag", (F.col("s") + F.col("j")).alias("s")).distinct())
     again = single.join(single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "w")
     spans = (whole.unionByName(trees.select("doc_id", "tag", "s", (F.col("s") + F.col("length")).alias("e")))
-             .unionByName(alike.select("doc_id", "tag", "s", (F.col("s") + F.length("whole")).alias("e")))
+             .unionByName(alike.select("doc_id", "tag", "s", (F.col("s") + F.col("n")).alias("e")))
              .unionByName(again.select("doc_id", "tag", "s", (F.col("s") + LENGTH).alias("e"))))
     return trees, spans
 

@@ -57,10 +57,13 @@ def test_substring_dedup(request, which):
     assert sorted(str(tuple(r)) for r in substring_dedup.remove_repeats(df).collect()) == want
 
 
-def test_substring_dedup_splits_large_groups(edge, monkeypatch):
-    want = sorted(str(tuple(r)) for r in substring_dedup.remove_repeats(edge).collect())
+@pytest.mark.parametrize("which", ["edge", "docs"])
+def test_substring_dedup_counts_large_groups_by_digests(request, which, monkeypatch):
+    df = request.getfixturevalue(which)
+    rows = df.select("doc_id", "text").collect()
+    want = sorted(str((r.doc_id, *w)) for r, w in zip(rows, brute_repeats([r.text for r in rows])))
     monkeypatch.setattr(substring_dedup, "GROUP", 1)
-    assert sorted(str(tuple(r)) for r in substring_dedup.remove_repeats(edge).collect()) == want
+    assert sorted(str(tuple(r)) for r in substring_dedup.remove_repeats(df).collect()) == want
 
 
 def test_interval_groups_hold_all_occurrences():
