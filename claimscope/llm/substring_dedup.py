@@ -159,37 +159,71 @@ def interval_groups(parts: list[bytes], names: list[tuple] | None = None) -> lis
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor -> occurrences (group, length, doc_id, tag, start) of maximal repeats; one anchor is held at a time."""
-    now, held = None, []
-
-    def close():
-        by_core: dict = {}
-        for doc, tag, s, at, whole in held:
-            for core, i, j in pieces(whole, at):
-                by_core.setdefault(core, []).append((whole[i:j], doc, tag, s + i))
-        for core, parts in by_core.items():
-            if len(parts) < 2:
-                continue
-            name = hashlib.blake2b(core, digest_size=16).digest()
-            for g, (size, at) in enumerate(interval_groups([x[0] for x in parts], [((x[1], x[2]), x[3]) for x in parts])):
-                group = name + g.to_bytes(4, "big")
-                yield from ((group, size, parts[i][1], parts[i][2], parts[i][3] + s) for i, s in at)
-
-    kind = None
+def _trees(held: list) -> Iterator[tuple[bytes, list, list]]:
+    """Contexts (doc_id, tag, start, anchor, bytes) of one anchor -> (shared bytes, pieces, their maximal repeat groups)."""
+    by_core: dict = {}
+    for doc, tag, s, at, whole in held:
+        for core, i, j in pieces(whole, at):
+            by_core.setdefault(core, []).append((whole[i:j], doc, tag, s + i))
+    for core, parts in by_core.items():
+        if len(parts) > 1 and (found := interval_groups([x[0] for x in parts], [((x[1], x[2]), x[3]) for x in parts])):
+            yield core, parts, found
+
+
+def _by_anchor(batches: Iterator[pa.RecordBatch], close) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by anchor -> what ``close`` makes of the contexts of each; one anchor is held at a time."""
+    now, held, kind = None, [], None
     for batch in batches:
         kind, out = batch.schema.field(1).type, []
         for h, *context in zip(*(c.to_pylist() for c in batch.columns)):
             if h != now:
-                out += close()
+                out += close(held)
                 now, held = h, []
             held.append(context)
         if out:
             yield _occurrences(out, kind)
-    if out := list(close()):
+    if out := list(close(held)):
         yield _occurrences(out, kind)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by anchor -> every occurrence (group, length, doc_id, tag, start) of their maximal repeats."""
+    def close(held):
+        for core, parts, found in _trees(held):
+            name = hashlib.blake2b(core, digest_size=16).digest()
+            for g, (size, at) in enumerate(found):
+                group = name + g.to_bytes(4, "big")
+                yield from ((group, size, parts[i][1], parts[i][2], parts[i][3] + s) for i, s in at)
+
+    return _by_anchor(batches, close)
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by anchor -> the bytes that occurrences of their maximal repeats cover, as runs (null, length, doc_id, tag, start)."""
+    def close(held):
+        longest: dict = {}
+        for _, parts, found in _trees(held):
+            for size, at in found:
+                for i, s in at:
+                    place = (parts[i][1:3], parts[i][3] + s)
+                    if longest.get(place, 0) < size:
+                        longest[place] = size
+        by_text: dict = {}
+        for (text, s), size in longest.items():
+            by_text.setdefault(text, []).append((s, s + size))
+        for (doc, tag), spans in by_text.items():
+            spans.sort()
+            first, end = spans[0]
+            for s, e in spans:
+                if s > end:
+                    yield None, end - first, doc, tag, first
+                    first = s
+                end = max(end, e)
+            yield None, end - first, doc, tag, first
+
+    return _by_anchor(batches, close)
+
+
 def _occurrences(rows, kind):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), kind, pa.int64(), pa.int64()))],
                                       ["group", "length", "doc_id", "tag", "s"])
@@ -198,13 +232,15 @@ def _occurrences(rows, kind):
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, spans) of ``docs`` (doc_id, tag, text).
 
-    groups: the occurrences (group, length, doc_id, tag, s) of the maximal repeats found by the
-    interval trees; spans (doc_id, tag, s, e): all repeated bytes, overlapping.
+    groups: all occurrences (group, length, doc_id, tag, s) of the maximal repeats found by the
+    interval trees, listed when read; spans (doc_id, tag, s, e): all repeated bytes, overlapping.
+    Both sides of the joins grow with the documents, so they are merge joins at every size (AQE splits hot keys).
     """
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     found = stored(docs.select("doc_id", "tag", "text").mapInArrow(_anchor_rows, f"h bigint, c bigint, doc_id {doc_type}, tag bigint, packed bigint"))
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1")
-    rows = stored(found.join(twice.select("h", (F.col("c1") != F.col("c2")).alias("mixed")), "h"))
+    twice = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1")
+                   .select("h", (F.col("c1") != F.col("c2")).alias("mixed")))
+    rows = stored(found.join(twice.hint("merge"), "h"))
     pos = F.shiftright("packed", 16)
     lo, hi = F.shiftright("packed", 8).bitwiseAND(255), F.col("packed").bitwiseAND(255)
     rows = rows.select("h", "c", "mixed", "doc_id", "tag", (pos - lo).alias("s"), (pos + hi).alias("e"), pos.alias("a"))
@@ -212,20 +248,21 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.struct("doc_id", "tag", "s", "e", "a")
     contexts = stored(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
     whole = rows.where("not mixed").select("doc_id", "tag", "s", "e").unionByName(
-        mixed.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "tag", "s", "e"))
+        mixed.join(contexts.where("n > 1").select("h", "c").hint("merge"), ["h", "c"]).select("doc_id", "tag", "s", "e"))
 
     hot = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("h", F.lit(True).alias("hot")))
     need = contexts.join(sized(hot), "h", "left").select(
         "at.doc_id", "at.tag", F.struct("h", "c", F.col("hot").isNotNull().alias("big"), "at.s", "at.e", "at.a").alias("x"))
-    need = stored(need.groupBy("doc_id", "tag").agg(F.collect_set("x").alias("xs")).select(
-        F.col("doc_id").alias("d"), F.col("tag").alias("t"), "xs"))
-    texts = docs.join(sized(need), docs.doc_id.eqNullSafe(F.col("d")) & (docs.tag == F.col("t"))).select("doc_id", "tag", "text", "xs")
+    need = need.groupBy("doc_id", "tag").agg(F.collect_set("x").alias("xs")).select(
+        F.col("doc_id").alias("d"), F.col("tag").alias("t"), "xs")
+    texts = docs.join(need.hint("merge"), docs.doc_id.eqNullSafe(F.col("d")) & (docs.tag == F.col("t"))).select("doc_id", "tag", "text", "xs")
     texts = stored(texts.mapInArrow(
         _contexts, f"h bigint, c bigint, big boolean, doc_id {doc_type}, tag bigint, s bigint, at bigint, whole binary"))
     # equal rows give equal contexts
     small = texts.where("not big").select("h", "doc_id", "tag", "s", "at", "whole")
-    trees = stored(small.repartition("h").sortWithinPartitions("h").mapInArrow(
-        _groups, f"group binary, length bigint, doc_id {doc_type}, tag bigint, s bigint"))
+    small = small.repartition("h").sortWithinPartitions("h")
+    occurrences = f"group binary, length bigint, doc_id {doc_type}, tag bigint, s bigint"
+    covered = stored(small.mapInArrow(_covered, occurrences))
     large = texts.where("big").select("h", "c", "doc_id", "tag", "s", "at", "whole")
     cut = stored(large.mapInArrow(
         _digests, f"key binary, p binary, h bigint, c bigint, doc_id {doc_type}, tag bigint, s bigint, i bigint, n bigint")
@@ -240,31 +277,39 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.unhex(F.md5(F.substring("whole", (F.col("i") + F.col("j") + 1).cast("int"), F.lit(LENGTH)))).alias("w"),
         "doc_id", "tag", (F.col("s") + F.col("j")).alias("s")).distinct())
     again = single.join(single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "w")
-    spans = (whole.unionByName(trees.select("doc_id", "tag", "s", (F.col("s") + F.col("length")).alias("e")))
+    spans = (whole.unionByName(covered.select("doc_id", "tag", "s", (F.col("s") + F.col("length")).alias("e")))
              .unionByName(alike.select("doc_id", "tag", "s", (F.col("s") + F.col("n")).alias("e")))
              .unionByName(again.select("doc_id", "tag", "s", (F.col("s") + LENGTH).alias("e"))))
-    return trees, spans
+    return small.mapInArrow(_groups, occurrences), spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (doc_id, text, xs: [s, e]) -> what is left of each without the bytes of its spans."""
     for batch in batches:
-        rows = []
-        for doc, text, xs in zip(batch.column(0), batch.column(1), batch.column(2)):
-            raw = (text.as_py() or "").encode()
-            kept, runs, removed, at = hashlib.sha256(), 0, 0, 0
-            spans = sorted((x["s"], x["e"]) for x in (xs.as_py() or []))
-            for s, e in spans:
-                if s > at or (s == 0 and not runs):
-                    runs += 1
-                    kept.update(raw[at:s])
-                if e > at:
-                    removed += e - max(s, at)
-                    at = e
-            kept.update(raw[at:])
-            rows.append((doc.as_py(), len(raw), removed, runs, kept.hexdigest()))
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
-            batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        data, offsets = strings(batch.column(1))
+        xs, n = batch.column(2), batch.num_rows
+        row = np.repeat(np.arange(n), pa.compute.fill_null(pa.compute.list_value_length(xs), 0).to_numpy(zero_copy_only=False))
+        flat = xs.flatten()
+        s, e = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) + offsets[row] for c in ("s", "e"))
+        order = np.lexsort((s, row))
+        row, s, e = row[order], s[order], np.maximum.accumulate(e[order]) if len(order) else e
+        new = np.append(True, (row[1:] != row[:-1]) | (s[1:] > e[:-1])) if len(s) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        row, s, e = row[at], s[at], e[np.append(at[1:], len(e)) - 1] if len(at) else e
+        removed = np.bincount(row, e - s, n).astype(np.int64)
+        raw, digests = memoryview(np.ascontiguousarray(data)), []
+        bounds = np.searchsorted(row, np.arange(n + 1)).tolist()
+        starts, ends, o = s.tolist(), e.tolist(), offsets.tolist()
+        for i in range(n):
+            kept, p = hashlib.sha256(), o[i]
+            for k in range(bounds[i], bounds[i + 1]):
+                kept.update(raw[p: starts[k]])
+                p = ends[k]
+            kept.update(raw[p: o[i + 1]])
+            digests.append(kept.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(removed), pa.array(np.diff(np.array(bounds))), pa.array(digests)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -277,7 +322,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     _, spans = repeats(texts)
     by_doc = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e")).alias("xs")).select(
         F.col("doc_id").alias("d"), F.col("tag").alias("t"), "xs")
-    joined = texts.join(by_doc, texts.doc_id.eqNullSafe(F.col("d")) & (texts.tag == F.col("t")), "left").select("doc_id", "text", "xs")
+    joined = texts.join(by_doc.hint("merge"), texts.doc_id.eqNullSafe(F.col("d")) & (texts.tag == F.col("t")), "left").select("doc_id", "text", "xs")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
                            T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(_cut, schema)
