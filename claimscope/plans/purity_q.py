@@ -75,7 +75,7 @@ _RATIOS = ("fee_to_rrp_ratio", "balance_ratio")
 
 
 @query("a10_ratios_clipped", with_ctes(CLAIMS_NT, CURRENCY)(
-    f"SELECT status, count(*) AS n, " + ", ".join(f"{r6(f'avg(least({c}, {c}_q99))')} AS {c}_mean, {r6(f'max(least({c}, {c}_q99))')} AS {c}_max"
+    f"SELECT status, count(*) AS n, " + ", ".join(f"{r6(f'avg(CASE WHEN {c} IS NOT NULL THEN least({c}, {c}_q99) END)')} AS {c}_mean, {r6(f'max(CASE WHEN {c} IS NOT NULL THEN least({c}, {c}_q99) END)')} AS {c}_max"
                                                   for c in _RATIOS)
     + f" FROM {_RATIO_SRC} JOIN (SELECT status, " + ", ".join(f"quantile_cont({c}, 0.99) AS {c}_q99" for c in _RATIOS)
     + f" FROM {_RATIO_SRC} GROUP BY status) USING (status) GROUP BY status"))
