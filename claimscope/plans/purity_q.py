@@ -1,4 +1,4 @@
-"""Neighbour purity (X4), the correlation matrix (A11), masked narratives (A12) and clipped ratios (A10)."""
+"""Neighbour purity (X4), masked narratives (A12) and clipped ratios (A10)."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from claimscope.operators import clean as CL
 from claimscope.operators import quality as Q
 from claimscope.operators.neighbours import K, neighbour_purity
 from claimscope.plans.claims_q import CLAIMS, CLAIMS_NT, _DIAG_NOTNA, _RATIO_SRC
-from claimscope.plans.common import feature_matrix, round_doubles, spread
+from claimscope.plans.common import round_doubles, spread
 from claimscope.plans.registry import query, with_ctes
-from claimscope.plans.sql_claims import CURRENCY, FEATURE_CTES, FEATURE_NAMES, r6
+from claimscope.plans.sql_claims import CURRENCY, r6
 from claimscope.sources.claims import raw_claims
 from claimscope.sources.tables import read_table
 
@@ -48,18 +48,6 @@ def x4_neighbour_purity(spark, sf_dir):
     return round_doubles(neighbour_purity(points))
 
 
-_PAIRS = [(a, b) for i, a in enumerate(FEATURE_NAMES) for b in FEATURE_NAMES[i + 1:]]
-
-
-@query("a11_correlation_matrix", with_ctes(*FEATURE_CTES)(
-    "SELECT p.a AS feature_a, p.b AS feature_b, " + r6("CASE WHEN isnan(p.r) THEN NULL ELSE p.r END") + " AS corr FROM (SELECT unnest(["
-    + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))}}" for a, b in _PAIRS)
-    + "]) AS p FROM matrix)"))
-def a11_correlation_matrix(spark, sf_dir):
-    matrix, enc = feature_matrix(spark, sf_dir)
-    return round_doubles(Q.correlation_matrix(matrix, enc.feature_names))
-
-
 @query("a12_masked_narratives", with_ctes(CLAIMS)(
     "SELECT count(*) AS n_rows, count_if(coalesce(contains(issueDesc, '*'), false))::BIGINT AS n_masked FROM claims"))
 def a12_masked_narratives(spark, sf_dir):
