@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimscope import config as C
 from claimscope.functions.parsing import parse_product_name
-from claimscope.functions.text import has_mojibake
+from claimscope.functions.text import has_mojibake, repair_mojibake
 from claimscope.operators import clean as CL
 from claimscope.operators import quality as Q
 from claimscope.operators.features import FeatureEncoder
@@ -106,7 +106,7 @@ def p9_mojibake_counts(spark, sf_dir):
 @query("p10_text_for_review", with_ctes(CLAIMS)(
     "SELECT claim_id, coalesce(issueDesc, '') AS issue_desc, coalesce(other, '') AS other FROM claims"))
 def p10_text_for_review(spark, sf_dir):
-    return CL.text_for_review(raw_claims(spark, sf_dir))
+    return CL.text_for_review(raw_claims(spark, sf_dir, text=repair_mojibake), repaired=("issueDesc",))
 
 
 @query("p17_claim_id_default", with_ctes(CLAIMS_NT)(
