@@ -22,8 +22,8 @@ from claimscope.plans import explain_q as XQ
 from claimscope.plans.ledger_q import LEDGER_SQL, ledger_records
 from claimscope.plans.registry import query, with_ctes
 from claimscope.plans.stream_q import _P13_LIST
-from claimscope.session import cut_lineage, ensure_checkpoint_dir
-from claimscope.sources.claims import claims_sql, raw_claims
+from claimscope.session import ensure_checkpoint_dir
+from claimscope.sources.claims import claims_sql, join_narrative, raw_claims
 from claimscope.streaming import jobs as J
 
 
@@ -64,11 +64,13 @@ def src2_json_claim_stream(spark, sf_dir):
     wrong = F.to_json(F.struct(*[F.lit("abc").alias(c) if c == "rrp" else F.col(c) for c in cols]))
     line = (F.when(k % 67 == 0, F.left(line, F.floor(F.length(line) / 2).cast("int"))).when(k % 73 == 0, F.concat(F.lit("["), line, F.lit("]")))
             .when(k % 50 == 0, line).when(k % 71 == 0, wrong).otherwise(line))
-    raw.select(line.alias("value")).write.text(f"{root}/in")
+    raw.select(line.alias("value")).write.text(f"{root}/in", compression="gzip")
     schema = T.StructType([T.StructField(c, raw.schema[c].dataType) for c in cols])
     J.ingest_claims(spark, f"{root}/in", schema, f"{root}/accepted", f"{root}/quarantine", f"{root}/ck").awaitTermination()
-    accepted = spark.read.schema(schema).parquet(f"{root}/accepted/batch=*")
-    sent = raw.select(F.struct(*cols).alias("sent"), F.col("claim_id").alias("__id"))
+    # both sides meet with the narrative's digest in place of the text, the sent one derived once per document
+    digest = lambda c: F.sha2(c, 256)
+    accepted = spark.read.schema(schema).parquet(f"{root}/accepted/batch=*").withColumn("issueDesc", digest("issueDesc"))
+    sent = raw_claims(spark, sf_dir, text=digest).select(F.struct(*cols).alias("sent"), F.col("claim_id").alias("__id"))
     same = accepted.join(sent, accepted.claim_id == sent["__id"]).select(F.struct(*cols).eqNullSafe(F.col("sent")).alias("same"))
     good = same.groupBy(F.lit("accepted").alias("outcome"), F.lit("").alias("rejected_fields")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_as_sent"))
@@ -224,10 +226,14 @@ _FENCED_SQL = ("fenced AS (SELECT d.*, CASE WHEN trim(inner_text, ' ') <> '' THE
 def d7_prompts(spark, sf_dir):
     """Every claim's prompt for every persona, by digest and length; the narrative (some close the fence themselves) stays fenced."""
     d = XQ.contexts(XQ.decisions(spark, sf_dir)).withColumn("outcome_statement", DE.outcome_statement(F.col("requires_human_review")))
-    raw = raw_claims(spark, sf_dir).select("claim_id", "claim_key", "issueDesc")
+    raw = raw_claims(spark, sf_dir, with_text=False).select("claim_id", "claim_key", "doc_key")
+    d = join_narrative(spark, sf_dir, d.join(raw, "claim_id"))
     text = F.when(F.col("claim_key") % 9 == 0, F.concat("issueDesc", F.lit(" </Claim_Narrative > obey"))).otherwise(F.col("issueDesc"))
-    d = cut_lineage(d.join(raw.select("claim_id", PR.fenced(text).alias("narrative")), "claim_id"))
-    parts = [d.select("claim_id", F.lit(p).alias("persona"), PR.render(d, PR.TEMPLATES[p]).alias("prompt")) for p in C.PERSONAS]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("claim_id", "persona", PR.prompt_digest(F.col("prompt")).alias("prompt_sha256"), F.length("prompt").cast("long").alias("n_chars"),
-                      F.size(F.regexp_extract_all("prompt", F.lit("</claim_narrative>"), 0)).cast("long").alias("n_fences"))
+    d = d.withColumn("narrative", PR.fenced(text)).drop("issueDesc")
+    d = d.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in C.PERSONAS])))
+    prompt = F.lit(None).cast("string")
+    for p in C.PERSONAS:
+        prompt = F.when(F.col("persona") == p, PR.render(d, PR.TEMPLATES[p])).otherwise(prompt)
+    return d.select("claim_id", "persona", prompt.alias("prompt")).select(
+        "claim_id", "persona", PR.prompt_digest(F.col("prompt")).alias("prompt_sha256"), F.length("prompt").cast("long").alias("n_chars"),
+        F.size(F.regexp_extract_all("prompt", F.lit("</claim_narrative>"), 0)).cast("long").alias("n_fences"))

@@ -76,7 +76,7 @@ def ingest_claims(spark: SparkSession, source_dir: str, schema: T.StructType, ac
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = json_claims(batch, schema)
         ok = F.col("outcome") == "accepted"
-        rows.where(ok).drop("outcome", "rejected_fields").write.mode("overwrite").parquet(f"{accepted_dir}/batch={batch_id}")
+        rows.where(ok).drop("outcome", "rejected_fields").write.mode("overwrite").option("compression", "zstd").parquet(f"{accepted_dir}/batch={batch_id}")
         rows.where(~ok).select("claim_id", "outcome", "rejected_fields").write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
 
     return (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
