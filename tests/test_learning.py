@@ -108,3 +108,23 @@ def test_search_stops_trials_and_restarts(spark, sf, matrix, tmp_path, monkeypat
     assert SE.trials(more).count() == 8 and SE.replay(more).where("not agrees").isEmpty()
     assert {r.trial: r.mean_pr_auc for r in SE.trials(first).collect()}.items() <= {r.trial: r.mean_pr_auc for r in SE.trials(more).collect()}.items()
     assert SE.draw("gbt", 3) == SE.draw("gbt", 3) != SE.draw("gbt", 4)
+
+
+def test_prepared_part_fits_as_the_pipeline_does(matrix):
+    """One preparation per fold serves every setting and changes no score."""
+    m, feats = matrix
+    train, held = m.where("fold <> 0"), m.where("fold = 0")
+    part = LN.prepare("logistic_regression", train, held, feats)
+    for params in ({"C": 0.01, "maxIter": 5}, {"C": 5.0, "maxIter": 5}):
+        whole = LN.score(LN.fit("logistic_regression", train, feats, params), held).agg(F.sum("score"), F.sum(F.col("score") ** 2)).first()
+        shared = LN.score(LN.fit("logistic_regression", part, feats, params), part.held).agg(F.sum("score"), F.sum(F.col("score") ** 2)).first()
+        assert list(shared) == pytest.approx(list(whole), rel=1e-9)
+
+
+def test_search_prepares_each_fold_once(matrix, tmp_path, monkeypatch):
+    m, feats = matrix
+    made = []
+    prepare = LN.prepare
+    monkeypatch.setattr(LN, "prepare", lambda *a: made.append(1) or prepare(*a))
+    SE.search(m, "logistic_regression", feats, str(tmp_path / "study"), n_trials=2, n_folds=3, parallelism=2, fixed={"maxIter": 2})
+    assert len(made) == 3
