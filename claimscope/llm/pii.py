@@ -41,6 +41,7 @@ WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN, TAGS = 8, 16, 1 + 2 * len(KINDS)
 STEPS, BATCH, RATE, SEED = 120, 48, 0.02, 7
 LEAST_CONFIDENCE = 2.0
+DECODED = 256         # windows that are decoded at once; every task of an executor holds the network's states of so many
 
 Span = tuple[int, int, int]  # start, end (exclusive), kind
 
@@ -111,11 +112,12 @@ def initial() -> dict[str, np.ndarray]:
     return p
 
 
-def _lstm(x, w, b):
-    """x (steps, n, EMBED) -> hidden states and what the backward pass needs."""
-    n, h, c, keep, out = x.shape[1], 0, 0, [], []
+def _lstm(x, w, b, training=True):
+    """x (steps, n, EMBED) -> hidden states and (training) what the backward pass needs."""
+    n, keep = x.shape[1], []
     h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-    for step in x:
+    out = np.empty((len(x), n, HIDDEN))
+    for k, step in enumerate(x):
         z = np.concatenate([step, h], 1)
         a = z @ w + b
         s = _sigmoid(a[:, : 3 * HIDDEN])
@@ -123,9 +125,10 @@ def _lstm(x, w, b):
         before, c = c, f * c + i * g
         t = np.tanh(c)
         h = o * t
-        keep.append((z, i, f, o, g, before, t))
-        out.append(h)
-    return np.stack(out), keep
+        if training:
+            keep.append((z, i, f, o, g, before, t))
+        out[k] = h
+    return out, keep
 
 
 def _lstm_back(dh_all, keep, w):
@@ -144,11 +147,11 @@ def _lstm_back(dh_all, keep, w):
     return np.stack(dx[::-1]), dw, db
 
 
-def emissions(p, x):
-    """x (n, steps) character classes -> (steps, n, TAGS), and the states of both ways."""
+def emissions(p, x, training=True):
+    """x (n, steps) character classes -> (steps, n, TAGS), and (training) the states of both ways."""
     e = p["E"][x.T]
-    hf, kf = _lstm(e, p["Wf"], p["bf"])
-    hb, kb = _lstm(e[::-1], p["Wb"], p["bb"])
+    hf, kf = _lstm(e, p["Wf"], p["bf"], training)
+    hb, kb = _lstm(e[::-1], p["Wb"], p["bb"], training)
     h = np.concatenate([hf, hb[::-1]], 2)
     return h @ p["V"] + p["c"], (h, kf, kb)
 
@@ -209,7 +212,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> dict[str, np.ndarra
 
 def decode(p, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Viterbi tags (n, steps) of windows, and how far each emission lies above that of 'outside'."""
-    em, _ = emissions(p, x)
+    em, _ = emissions(p, x, training=False)
     steps, n = em.shape[:2]
     best, back = em[0], np.zeros((steps, n, TAGS), np.int8)
     for t in range(1, steps):
@@ -330,7 +333,7 @@ def find(texts: list[str], model) -> list[tuple[list[Span], list[Span]]]:
     for i, text in enumerate(texts):
         for s in window_starts(text):
             todo.append((i, s))
-            if len(todo) >= 1024:
+            if len(todo) >= DECODED:
                 flush()
     flush()
     out = []

@@ -439,3 +439,19 @@ def test_words_relaxed_together_equal_words_one_by_one():
     words = [" " * r.randint(0, 3) + "".join(r.choice("abehtionsTIéüß漢😀▁\x00.,0129-ñçœ\n") for _ in range(r.randint(1, 14))) for _ in range(5000)]
     words += [" ", " " * 5, "the", "x" * 700, " " + "漢字" * 200]
     assert [x.tolist() for x in pieces.encode_words(words, v)] == [x.tolist() for x in pieces.encode_long_words(words, v)]
+
+
+def test_pii_decoding_holds_few_states():
+    """Decoding keeps nothing for a backward pass and reads a bounded number of windows at once, with the same tags as the training pass."""
+    import tracemalloc
+
+    p, texts = pii.initial(), [f"call +1 202 555 01{i % 90 + 10} or write to a{i}@b.org, " * 3 for i in range(1500)]
+    x = np.random.default_rng(5).integers(0, 96, (40, pii.WINDOW))
+    assert np.array_equal(pii.emissions(p, x)[0], pii.emissions(p, x, training=False)[0])
+    pii.find(texts[:10], p)
+    tracemalloc.start()
+    found = pii.find(texts, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and peak < 64 << 20
+    assert pii.find(texts[:3], p) == found[:3]
