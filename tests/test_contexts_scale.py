@@ -14,7 +14,7 @@ TEXTS = ["no figure", "", None, "  ", "paid 1,299.95 EUR, ref AB12 and 7", 'a "q
 def test_numbers_of_a_narrative_are_those_its_context_shows(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
     ctx = rows.withColumn("context", F.to_json(F.struct(F.when(F.trim("t") != "", F.col("t")).alias("issue_desc"), F.lit("x").alias("o"))))
-    got = EX.with_shown_numbers(ctx, "grounds").withColumn("told", F.coalesce(EX.text_numbers(F.col("t")), F.array().cast("array<double>"))).collect()
+    got = EX.with_shown_numbers(ctx, "grounds").withColumn("told", F.coalesce(EX.text_numbers("t"), F.array().cast("array<double>"))).collect()
     assert all(set(r.grounds) == set(r.told) for r in got) and any(r.told for r in got)
     assert [len(r.told) for r in got if r.i == 6] == [1]                                   # each figure once
 
