@@ -51,10 +51,11 @@ def json_claims(lines: DataFrame, schema: T.StructType, value_col: str = "value"
     names = [f.name for f in schema.fields]
     reader = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     rows = lines.select(F.col(value_col).alias("__line")).where(F.trim("__line") != "")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("__line")).startswith("OBJECT"), F.lit(False))
+    is_object = F.try_parse_json("__line").isNotNull() & F.col("__line").rlike(r"^[ \t\r\n]*+\{")     # of what the parser takes, what begins with a brace
     rows = rows.withColumns({"__object": is_object, "__r": F.from_json("__line", reader, {"columnNameOfCorruptRecord": CORRUPT})})
     rows = rows.withColumn("__unknown", F.when(F.col("__object"), F.array_except(F.json_object_keys("__line"), F.array(*[F.lit(n) for n in names]))))
-    rows = rows.select("__object", "__unknown", "__r.*")
+    # a filter on the outcome would be moved below the parser and parse the line again for every field that a rule reads; it does not pass an explode
+    rows = rows.select(F.explode_outer(F.array(F.struct("__object", "__unknown", "__r"))).alias("__p")).select("__p.__object", "__p.__unknown", "__p.__r.*")
     broken = contract_violations(rows)
     rows = rows.withColumn("rejected_fields", F.when(~F.col("__object") | F.col(CORRUPT).isNotNull(), F.array().cast("array<string>"))
                            .when(F.size("__unknown") > 0, F.col("__unknown")).otherwise(broken))
